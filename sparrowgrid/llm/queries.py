@@ -20,12 +20,30 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparrowgrid.llm.langid import identify
+
+    return identify(_read(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparrowgrid.llm.simhash import digest
+
+    return digest(_read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparrowgrid.llm.bpe import round_trip
 
     return round_trip(_read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparrowgrid.llm.mixing import digest
+
+    return digest(_read(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparrowgrid.llm.pii import digest
 
@@ -40,7 +58,10 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language": op1_language,
+        "op3_simhash": op3_simhash,
         "op5_bpe_round_trip": op5_bpe_round_trip,
+        "op6_mixture": op6_mixture,
         "op8_personal_data": op8_personal_data,
         "op9_token_records": op9_token_records,
     }
