@@ -56,6 +56,12 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparrowgrid.llm.urlfilter import digest
+
+    return digest(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
@@ -64,8 +70,11 @@ def queries() -> dict[str, Query]:
         "op6_mixture": op6_mixture,
         "op8_personal_data": op8_personal_data,
         "op9_token_records": op9_token_records,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sparrowgrid.llm.urlfilter import ORACLE_SQL
+
+    return {"op10_url_filter": ORACLE_SQL}
