@@ -25,6 +25,14 @@ def test_frames_round_trip_and_catch_damage():
         list(records.read_file(a[:-1]))
 
 
+def test_fast_encoder_as_the_library():
+    library, fast = tokenizers.Tokenizer.from_file(vocabulary_path()), records.FastEncoder(vocabulary_path())
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{c}1 {c} '{c}!" for c in points] + [t for t in ODD if t is not None]
+    for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast.encode(t).tolist() == want.ids
+
+
 @pytest.mark.parametrize("rows", [3, 4096])
 def test_files_against_the_library(spark, make, tmp_path, rows):
     library = tokenizers.Tokenizer.from_file(vocabulary_path())
