@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -43,11 +44,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def category_class(kind: str) -> str:
-    """The characters of a general category as ranges of a character class."""
+def category_class(kind: str, last_point: int = sys.maxunicode) -> str:
+    """The characters of a general category up to a code point as ranges of a character class."""
     out, start, last = [], None, -2
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+    for c in range(last_point + 2):
+        inside = c <= last_point and unicodedata.category(chr(c))[0] == kind
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -57,14 +58,32 @@ def category_class(kind: str) -> str:
     return "".join(out)
 
 
-def word_pattern() -> re.Pattern[str]:
-    """The split of text before merging, with explicit classes for letters, numbers and white space."""
-    letters, numbers = category_class("L"), category_class("N")
+def in_one_plane(text: str) -> bool:
+    """True if no character is beyond U+FFFF."""
+    return text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+
+
+def word_pattern(last_point: int = sys.maxunicode) -> re.Pattern[str]:
+    """The split of text before merging, with explicit classes for letters, numbers and white space.
+
+    Classes that end at U+FFFF are far faster, being one table; they do for texts without later characters.
+    """
+    letters, numbers = category_class("L", last_point), category_class("N", last_point)
     return re.compile(
         rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
     )
 
 
+class Splitter:
+    """Text to the words that are merged on their own."""
+
+    def __init__(self) -> None:
+        self.plane, self.all = word_pattern(0xFFFF).findall, word_pattern().findall
+
+    def __call__(self, text: str) -> list[str]:
+        return self.plane(text) if in_one_plane(text) else self.all(text)
+
+
 class MergeList:
     """A byte-level merge list as the tokenizers library writes it."""
 
@@ -151,23 +170,76 @@ class Transducer:
         return self.merges.merge([self.merges.byte_id[b] for b in held])
 
 
-class _Words(dict):
-    """Word: its tokens. ``__missing__`` keeps the lookup loop in C."""
+class WordMerger:
+    """Many short words at once: each round merges the best pair of every word, in matrices of equal width.
+
+    A word of up to LONG_WORD bytes fits the transducer's window whole, so all its tokens are stable at its end.
+    """
 
     def __init__(self, merges: MergeList) -> None:
         self.merges = merges
+        self.byte_id = np.array(merges.byte_id, np.int32)
+        keys = np.array([a << 20 | b for a, b in merges.pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], NEVER)
+        self.values = np.append(np.array(list(merges.pairs.values()), np.int64)[order], NEVER)
+        # pairs of the bytes' own tokens, which every word needs first
+        size = max(merges.byte_id) + 1
+        self.first = np.full((size, size), NEVER, np.int64)
+        for (a, b), x in merges.pairs.items():
+            if a < size and b < size:
+                self.first[a, b] = x
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 20 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], NEVER)
+
+    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        out: list[tuple[int, ...]] = [()] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for width in (4, 6, 8, 10, 12, 16, 24, LONG_WORD):
+            which = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            for k in range(0, len(which), 1 << 15):
+                part = which[k : k + (1 << 15)]
+                for n, got in zip(part.tolist(), self._block([words[x] for x in part.tolist()], sizes[part], width), strict=True):
+                    out[n] = got
+        return out
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        data = word.encode("utf-8", "surrogatepass")
-        if len(data) > LONG_WORD:
-            t = Transducer(self.merges)
-            return (*t.push(data), *t.finish())
-        byte_id = self.merges.byte_id
-        got = tuple(self.merges.merge([byte_id[b] for b in data]))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = got
-        return got
+    def _block(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[tuple[int, ...]]:
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        ids = self.byte_id[raw]
+        size = sizes.copy()
+        ranks = self.first[ids[:, :-1], ids[:, 1:]]
+        ranks[np.arange(width - 1)[None, :] >= (size - 1)[:, None]] = NEVER
+        rows, columns = np.arange(len(words)), np.arange(width)
+        done: list[tuple[int, ...]] = [()] * len(words)
+        while len(rows):
+            at = ranks.argmin(1)
+            n = np.arange(len(rows))
+            best = ranks[n, at]
+            alive = best < NEVER
+            for k in np.flatnonzero(~alive).tolist():
+                done[rows[k]] = tuple(ids[k, : size[k]].tolist())
+            if not alive.any():
+                break
+            rows, ids, ranks, size, at, best = rows[alive], ids[alive], ranks[alive], size[alive], at[alive], best[alive]
+            n = np.arange(len(rows))
+            ids[n, at] = best & 0xFFFFF
+            # the column after each merge goes: everything right of it moves by one
+            step = np.minimum(columns[None, :] + (columns[None, :] > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, step, 1)
+            ranks = np.take_along_axis(ranks, np.minimum(columns[None, :-1] + (columns[None, :-1] >= at[:, None]), width - 2), 1)
+            size = size - 1
+            ranks[n, np.maximum(size - 1, 0)] = NEVER
+            ranks[n, np.minimum(size, width - 2)] = NEVER
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
+            right = np.flatnonzero(at < size - 1)
+            ranks[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
+        return done
 
 
 class Encoder:
@@ -175,20 +247,44 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.merges = MergeList(path)
-        self.words = _Words(self.merges)
-        self.split = word_pattern().findall
+        self.short = WordMerger(self.merges)
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.split = Splitter()
+
+    def _learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Tokens of words that the table lacks. Long ones are streamed and not kept."""
+        if len(self.words) + len(words) > CACHE_WORDS:
+            self.words.clear()
+        named = [(w, w.encode("utf-8", "surrogatepass")) for w in words]
+        short = [(w, b) for w, b in named if len(b) <= LONG_WORD]
+        self.words.update(zip((w for w, _ in short), self.short.encode([b for _, b in short]), strict=True))
+        long = {}
+        for w, b in named:
+            if len(b) > LONG_WORD:
+                t = Transducer(self.merges)
+                long[w] = (*t.push(b), *t.finish())
+        return long
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        m, split = self.merges, []
+        for t in texts:
+            if any(s in t for s in m.special):
+                split.append([x for k, p in enumerate(m.special_pattern.split(t)) for x in ((p,) if k % 2 else self.split(p))])
+            else:
+                split.append(self.split(t))
+        words = set().union(*split)
+        table = self.words
+        new = words - table.keys() - m.special.keys()
+        if len(table) + len(new) > CACHE_WORDS:
+            new = words - m.special.keys()
+        extra = self._learn(new) | {s: (i,) for s, i in m.special.items()}
+        if words.isdisjoint(extra):
+            get = table.__getitem__
+            return [list(chain.from_iterable(map(get, w))) for w in split]
+        return [[i for w in ws for i in (extra[w] if w in extra else table[w])] for ws in split]
 
     def encode(self, text: str) -> list[int]:
-        m = self.merges
-        if not any(s in text for s in m.special):
-            return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
-        out: list[int] = []
-        for k, part in enumerate(m.special_pattern.split(text)):
-            if k % 2:
-                out.append(m.special[part])
-            else:
-                out += chain.from_iterable(map(self.words.__getitem__, self.split(part)))
-        return out
+        return self.encode_batch([text])[0]
 
 
 class Decoder:
@@ -231,7 +327,7 @@ def encode_column(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
     def run(batches):
         e = encoder(vocabulary)
         for b in batches:
-            got = [e.encode(t or "") for t in b.column(text).to_pylist()]
+            got = e.encode_batch([t or "" for t in b.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(got, pa.list_(pa.int32()))], [*kept, ids])
 
     schema = df.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
@@ -248,8 +344,7 @@ def round_trip(df: DataFrame, vocabulary: str) -> DataFrame:
         names = {i: str(i) for i in e.merges.token_bytes}
         for b in batches:
             out = []
-            for t in b.column("text").to_pylist():
-                ids = e.encode(t or "")
+            for ids in e.encode_batch([t or "" for t in b.column("text").to_pylist()]):
                 text = decode(e.merges, ids)
                 out.append((len(ids), sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), sha256(text.encode()).hexdigest()))
             n, a, d = zip(*out, strict=True) if out else ((), (), ())

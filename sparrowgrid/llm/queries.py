@@ -26,12 +26,27 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from sparrowgrid.llm.ann import search
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparrowgrid.llm.simhash import digest
 
     return digest(_read(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparrowgrid.llm.sketch import digest
+
+    return digest(_read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparrowgrid.llm.bpe import round_trip
 
@@ -65,7 +80,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
+        "op2_nearest_vectors": op2_nearest_vectors,
         "op3_simhash": op3_simhash,
+        "op4_fingerprints": op4_fingerprints,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_mixture": op6_mixture,
         "op8_personal_data": op8_personal_data,
