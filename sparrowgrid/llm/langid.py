@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.bpe import category_class
+from sparrowgrid.llm.bpe import category_class, in_one_plane
 from sparrowgrid.llm.common import arrow_map, ship, written
 
 UNKNOWN = "und"
@@ -29,7 +30,9 @@ LETTER, SMOOTH = 1e-7, 0.05
 #: Labelled documents a language that the model is fitted on, expected; documented bound of the fit.
 FIT_DOCS, ROUNDS = 800, 2
 #: Words kept with their scores; the table is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Words of a partition counted before they are handed on.
+COUNTED = 100_000
 
 
 def pieces(vocabulary: str) -> list[str]:
@@ -50,10 +53,11 @@ class Words:
     """Texts to words: lower-cased runs of letters, the first part with the start mark."""
 
     def __init__(self) -> None:
-        self.find = re.compile(f"[{category_class('L')}]+").findall
+        self.plane, self.all = (re.compile(f"[{category_class('L', last)}]+").findall for last in (0xFFFF, sys.maxunicode))
 
     def __call__(self, text: str | None) -> list[str]:
-        return self.find(text.lower()) if text else []
+        low = text.lower() if text else ""
+        return self.plane(low) if in_one_plane(low) else self.all(low)
 
 
 def parts(word: str) -> list[str]:
@@ -104,44 +108,126 @@ def expected(s: str, table: dict[str, float], weight: float, out: Counter) -> No
             out[piece] += alpha[t] * p * beta[e] * scale
 
 
+class Forward:
+    """``forward`` of many words at once, in matrices of words by places, for pieces found by their hashes."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    SLOTS = 20
+
+    def __init__(self, table: dict[str, tuple[float, ...]], n: int) -> None:
+        names = list(table)
+        hashes = np.zeros(len(names), np.uint64)
+        for size in {len(p) for p in names}:
+            which = [k for k, p in enumerate(names) if len(p) == size]
+            codes = np.array([[ord(c) for c in names[k]] for k in which], np.uint64)
+            h = np.zeros(len(which), np.uint64)
+            for t in range(size):
+                h = (h + codes[:, t] + np.uint64(1)) * self.BASE
+            hashes[which] = h
+        order = np.argsort(hashes)
+        self.hashes = np.append(hashes[order], np.zeros(8, np.uint64))
+        self.found = np.append(order, np.full(8, len(names)))
+        self.p = np.zeros((len(names) + 2, n))  # then nothing, and a letter that is no piece
+        self.p[: len(names)] = [table[x] for x in names]
+        self.p[-1] = LETTER
+        slots = (hashes[order] >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        self.first = np.searchsorted(slots, np.arange(1 << self.SLOTS)).astype(np.int32)
+        self.depth = min(8, int(np.bincount(slots, minlength=1).max())) if len(names) else 0
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """(words, languages): log probabilities of words of at most PART letters."""
+        out = np.zeros((len(words), self.p.shape[1]))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for width in (5, 8, 11, 15, 24, PART):
+            which = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            for k in range(0, len(which), 1 << 13):
+                part = which[k : k + (1 << 13)]
+                out[part] = self._block([words[x] for x in part.tolist()], sizes[part], width)
+        return out
+
+    def _block(self, words: list[str], sizes: np.ndarray, width: int) -> np.ndarray:
+        codes = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width).astype(np.uint64)
+        none, letter = len(self.p) - 2, len(self.p) - 1
+        alpha = np.zeros((width + 1, len(words), self.p.shape[1]))
+        alpha[0] = 1.0
+        h = np.zeros_like(codes)
+        arcs = []
+        for size in range(1, min(PIECE, width) + 1):
+            n = width - size + 1
+            h = (h[:, :n] + codes[:, size - 1 :] + np.uint64(1)) * self.BASE
+            at = self.first[(h >> np.uint64(64 - self.SLOTS)).astype(np.int64)]
+            got = np.full(h.shape, none)
+            for step in range(self.depth):
+                got = np.where(self.hashes[at + step] == h, self.found[at + step], got)
+            if size == 1:
+                got[got == none] = letter
+            arcs.append(got)
+        for e in range(1, width + 1):
+            for size in range(1, min(PIECE, e) + 1):
+                piece = arcs[size - 1][:, e - size]
+                alpha[e] += alpha[e - size] * self.p[piece]
+        return np.log(np.maximum(alpha[sizes, np.arange(len(words))], 1e-300))
+
+
 class Model:
     """Languages in order, and each piece's probability in each."""
 
     def __init__(self, languages: list[str], table: dict[str, tuple[float, ...]]) -> None:
         self.languages, self.table = languages, table
         self.find = Words()
+        self.forward = Forward(table, len(languages))
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((CACHE_WORDS, max(1, len(languages))), np.float64)
+        self.scores = np.zeros((CACHE_WORDS, max(1, len(languages))))
 
     def __reduce__(self):
         return Model, (self.languages, self.table)
 
-    def _row(self, word: str) -> int:
-        n = len(self.languages)
-        total = [0.0] * n
-        for s in parts(word):
-            total = [x + math.log(max(y, 1e-300)) for x, y in zip(total, forward(s, self.table, n), strict=True)]
+    def _learn(self, words: set[str]) -> None:
+        """Log probabilities of new words: those of their parts, summed."""
+        new = list(words)
+        cut = [parts(w) for w in new]
+        logs = self.forward.logs([x for c in cut for x in c])
+        sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]]).astype(np.int64), axis=0)
         at = len(self.rows)
-        self.rows[word] = at
-        self.scores[at] = total
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior under equal priors; ties go to the first language."""
-        words = self.find(text)
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for k in range(0, len(words), CACHE_WORDS):
-            part = words[k : k + CACHE_WORDS]
-            if len(self.rows) + len(part) > CACHE_WORDS:
+        self.scores[at : at + len(new)] = sums
+        self.rows.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its posterior under equal priors; ties go to the first language."""
+        found = [self.find(t) for t in texts]
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        total = np.zeros((len(texts), len(self.languages)))
+        # parts of the batch with at most half of CACHE_WORDS words, so that the table always has room for them
+        groups, group, size = [], [], 0
+        for k, words in enumerate(found):
+            for j in range(0, len(words), CACHE_WORDS // 4):
+                piece = words[j : j + CACHE_WORDS // 4]
+                if size + len(piece) > CACHE_WORDS // 2:
+                    groups.append(group)
+                    group, size = [], 0
+                group.append((k, piece))
+                size += len(piece)
+        for group in [*groups, group]:
+            if not group:
+                continue
+            words = set().union(*(w for _, w in group))
+            new = words - self.rows.keys()
+            if len(self.rows) + len(new) > CACHE_WORDS:
                 self.rows.clear()
-            get, make = self.rows.get, self._row
-            at = [r if (r := get(w)) is not None else make(w) for w in part]
-            total += self.scores[at].sum(0)
-        z = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.languages[best], float(z[best] / z.sum())
+                new = words
+            if new:
+                self._learn(new)
+            get = self.rows.__getitem__
+            for k, w in group:
+                at = np.fromiter(map(get, w), np.int64, len(w))
+                total[k] += self.scores[at].sum(0)
+        best = total.argmax(1)
+        z = np.exp(total - total.max(1, keepdims=True))
+        share = z[np.arange(len(z)), best] / z.sum(1)
+        return [(self.languages[b], float(p)) if w else (UNKNOWN, 0.0) for w, b, p in zip(found, best.tolist(), share.tolist(), strict=True)]
 
 
 def held_out(doc_id):
@@ -177,7 +263,7 @@ def fit(labelled: DataFrame, vocabulary: str, docs: int = FIT_DOCS, rounds: int
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 seen.update((lang, w) for w in find(text))
-            if len(seen) > CACHE_WORDS:
+            if len(seen) > COUNTED:
                 yield out()
                 seen.clear()
         if seen:
@@ -209,9 +295,6 @@ def fit(labelled: DataFrame, vocabulary: str, docs: int = FIT_DOCS, rounds: int
     return Model(languages, table)
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of every row. Null texts and texts without a letter: ``und``, score 0."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -219,7 +302,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            got = [m.predict(t) for t in b.column("text").to_pylist()]
+            got = m.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
@@ -240,7 +323,7 @@ def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            got = [m.predict(t) for t in b.column("text").to_pylist()]
+            got = m.predict(b.column("text").to_pylist())
             yield b.filter(pa.array([x != UNKNOWN and y >= least for x, y in got], pa.bool_())).select(names)
 
     return arrow_map(docs, run, docs.schema)

@@ -34,6 +34,17 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(got[k], sum(math.prod(p_of(x, table, k) for x in seg) for seg in segmentations(s)))
 
 
+def test_forward_in_matrices_is_the_same():
+    import random
+
+    rng = random.Random(1)
+    table = {"".join(rng.choices("abcé▁", k=rng.randint(1, 9))): (rng.random(), rng.random(), rng.random()) for _ in range(400)}
+    words = ["".join(rng.choices("abcéx▁\U0001f600", k=rng.randint(1, langid.PART))) for _ in range(300)]
+    got = langid.Forward(table, 3).logs(words)
+    for w, row in zip(words, got, strict=True):
+        assert all(math.isclose(x, math.log(max(y, 1e-300)), rel_tol=1e-9) for x, y in zip(row, langid.forward(w, table, 3), strict=True))
+
+
 def test_expected_counts():
     from collections import Counter
 
