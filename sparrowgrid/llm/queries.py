@@ -59,6 +59,12 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_read(spark, sf_dir, "documents"))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparrowgrid.llm.repeats import digest
+
+    return digest(_read(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparrowgrid.llm.pii import digest
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op4_fingerprints": op4_fingerprints,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_mixture": op6_mixture,
+        "op7_repeated_bytes": op7_repeated_bytes,
         "op8_personal_data": op8_personal_data,
         "op9_token_records": op9_token_records,
         "op10_url_filter": op10_url_filter,
