@@ -351,3 +351,23 @@ def round_trip(df: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return arrow_map(df.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(df: DataFrame, vocabulary: str) -> DataFrame:
+    """``(doc_id, lang, source, n_tokens, ids)`` of every row of a documents table; null texts have no ids.
+
+    Each text's ids are decoded again and compared with it; a text that doesn't come back raises.
+    """
+
+    def run(batches):
+        e = encoder(vocabulary)
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            ids = e.encode_batch(texts)
+            for t, i in zip(texts, ids, strict=True):
+                if decode(e.merges, i) != t:
+                    raise ValueError("a text doesn't survive encoding and decoding")
+            n = pa.array([len(i) for i in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("source"), n, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "lang", "source", "n_tokens", "ids"])
+
+    return arrow_map(df.select("doc_id", "lang", "source", "text"), run, "doc_id long, lang string, source string, n_tokens long, ids array<int>")

@@ -14,7 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.common import arrow_map, written
@@ -46,9 +46,9 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     """The set bits of each 64-bit lane in over half of the rows; ``hashes`` is (n, lanes)."""
     n, lanes = hashes.shape
     total = np.zeros(64 * lanes, np.int64)
-    for k in range(0, n, 1 << 16):
-        bits = np.unpackbits(np.ascontiguousarray(hashes[k : k + (1 << 16)]).view(np.uint8).reshape(-1, 8 * lanes), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.int32)
+    for k in range(0, n, 255):  # so many sums fit a byte
+        bits = np.unpackbits(np.ascontiguousarray(hashes[k : k + 255]).view(np.uint8).reshape(-1, 8 * lanes), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
     return np.packbits(2 * total > n, bitorder="little").view(np.uint64) if n else np.zeros(lanes, np.uint64)
 
 
@@ -153,3 +153,152 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 def digest(docs: DataFrame) -> DataFrame:
     got = near_duplicates(docs)
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# -- similarity joins beyond a few bits -------------------------------------------------------------
+#: Words of a shingle, parts of a signature and bits of each, radius of a part.
+WORDS, PARTS, PART_BITS, RADIUS = 5, 12, 28, 2
+#: Lanes of 64 further bits that check a candidate, and how many of them may differ: at a similarity of 0.8 one in
+#: 6.6 does, that is 19.4 of 128.
+CHECKS, DIFFERING = 2, 24
+#: Odd numbers that tell apart a shingle's words, and a hash's lanes.
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _scatter(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Signer:
+    """Texts to signatures of ``lanes`` 64-bit numbers, by shingles of words with A-Z lowered."""
+
+    #: Words kept with their hashes; the table is emptied when it is full.
+    CACHE = 200_000
+
+    def __init__(self, words: int, lanes: int) -> None:
+        self.n, self.lanes, self.words = words, lanes, {}
+
+    def _hash(self, word: bytes) -> int:
+        if (h := self.words.get(word)) is None:
+            if len(self.words) >= self.CACHE:
+                self.words.clear()
+            h = self.words[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        w = text.encode().lower().split() if text else []
+        if not w:
+            return np.zeros(self.lanes, np.uint64)
+        h = np.fromiter(map(self._hash, w), np.uint64, len(w))
+        n = min(self.n, len(w))
+        s = np.zeros(len(w) - n + 1, np.uint64)
+        for k in range(n):
+            s += _scatter(h[k : len(w) - n + 1 + k] + _ODD[k]) * _ODD[k]
+        s = np.unique(s)  # a text's set of shingles
+        return majority(_scatter(s[:, None] ^ _ODD[None, 32 : 32 + self.lanes]))
+
+
+def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, c0, c1) sorted by key: a forest of the links of each bucket.
+
+    All pairs of a bucket are compared, neighbours at distance 1, 2, .. of all buckets at once; what is emitted is
+    one row at most for each of its members.
+    """
+    held: list[np.ndarray] = []
+
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        key, node, c0, c1 = rows
+        parent = np.arange(len(key))
+
+        def root(x: np.ndarray) -> np.ndarray:
+            while True:
+                up = parent[x]
+                if (up == parent[up]).all():
+                    return up
+                parent[x] = parent[up]
+                x = up
+
+        at, step = np.arange(len(key)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at + step] == key[at]]
+            off = np.bitwise_count((c0[at] ^ c0[at + step]).view(np.uint64)) + np.bitwise_count((c1[at] ^ c1[at + step]).view(np.uint64))
+            a = at[off <= differing]
+            b = a + step
+            while len(a):
+                x, y = root(a), root(b)
+                apart = x != y
+                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+                if len(a):
+                    np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        top = root(np.arange(len(key)))
+        own = np.flatnonzero((top != np.arange(len(key))) & (node != node[top]))
+        return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[top[own]])], ["u", "v"])
+
+    size = 0
+    for b in batches:
+        rows = np.stack([b.column(c).to_numpy() for c in ("key", "node", "c0", "c1")])
+        held.append(rows)
+        size += rows.shape[1]
+        if size >= 1 << 17:
+            rows = np.hstack(held)
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last bucket may go on
+            if cut:
+                yield solve(rows[:, :cut])
+            held, size = [rows[:, cut:]], rows.shape[1] - cut
+            if not cut:
+                size = 0  # one bucket fills it: gather as much again before looking
+    if held:
+        yield solve(np.hstack(held))
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, parts: int = PARTS, bits: int = PART_BITS, differing: int = DIFFERING) -> DataFrame:
+    """``(doc_id, th, node, root)`` of every row: rows with one root are near copies, by a similarity of about 0.8 of
+    their sets of word shingles, or linked by such.
+
+    A signature has ``parts`` independent fingerprints of ``bits`` bits, each with the covering tables of radius
+    RADIUS, so a pair that differs in at most RADIUS bits of some part meets in a bucket, and CHECKS further lanes
+    decide. With 12 parts of 28 bits, a pair of similarity 0.8 meets with probability 0.91, one of 0.9 with 0.999.
+    ``bits`` must grow with the logarithm of the number of documents, to keep buckets small. Equal signatures are one
+    node. Null and empty texts are copies of each other.
+    """
+    lanes = -(-parts * bits // 64) + CHECKS
+    names = ["doc_id", "th", "node", "c0", "c1", *[f"p{k}" for k in range(parts)]]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(words, lanes)
+        for b in batches:
+            sig = np.array([signer(t) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, lanes)
+            loose = np.unpackbits(np.ascontiguousarray(sig[:, CHECKS:]).view(np.uint8), axis=1, bitorder="little")[:, : parts * bits]
+            value = loose.reshape(len(sig), parts, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sig], np.uint64).view(np.int64)
+            check = sig[:, :CHECKS].view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(node), *(pa.array(check[:, k].copy()) for k in range(CHECKS)), *(pa.array(value[:, k].copy()) for k in range(parts))], names)
+
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    schema = "doc_id long, th int, " + ", ".join(f"{n} long" for n in names[2:])
+    prints = written(arrow_map(keyed, sign, schema), "signatures")
+    nodes = prints.groupBy("node").agg(*[F.first(n).alias(n) for n in names[3:]])
+    cover = masks(bits, RADIUS)
+    tables = [F.lit((k * len(cover) + t) << 56 >> 8 if False else k * len(cover) + t).cast("bigint") * F.lit(1 << bits) + F.col(f"p{k}").bitwiseAND(F.lit(m)) for k in range(parts) for t, m in enumerate(cover)]
+    rows = nodes.select(F.explode(F.array(*tables)).alias("key"), "node", "c0", "c1")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
+    edges = arrow_map(dealt, lambda batches: candidates(batches, differing), "u long, v long")
+    roots = components(edges)
+    got = prints.select("doc_id", "th", "node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    return got.select("doc_id", "th", "node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the least doc_id's (nulls last), of repeated rows one."""
+    groups = similar_groups(docs, **options)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))).alias("least")
+    first = groups.groupBy("root").agg(least).select(F.col("least.doc_id").alias("_d"), F.col("least.th").alias("_t")).distinct()
+    own = docs.withColumn("_h", F.hash(F.coalesce("text", F.lit(""))))
+    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
+    order = Window.partitionBy("_d", "_t").orderBy("text")
+    return own.join(first, on).withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(*docs.columns)
