@@ -13,11 +13,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.common import BUCKET_ROWS, bucket_of, written
+from sparrowgrid.llm.common import bucket_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, STOP = 1.5, 2
+#: Documents of a chunk of a source's order, were all in one source: a chunk is summed in one task.
+CHUNK_ROWS = 1024
 #: Words of a block.
 BLOCK = 4096
 #: frac(j * phi) * 2^32 is j times this, modulo 2^32 (fixed value).
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sized = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
     got = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sources, rows = targets({r.source: r["size"] for r in got}, weights, share, stop), sum(r.n for r in got)
-    bits = max(0, (rows // BUCKET_ROWS)).bit_length()
+    bits = max(0, (rows // CHUNK_ROWS)).bit_length()
     table = spark.createDataFrame([(s.sid, s.source, s.size, s.words) for s in sources], "sid int, _source string, source_words long, take long")
     h = F.xxhash64("doc_id", F.lit(6))
     dealt = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "sid", "source_words", "take", h.alias("h"))

@@ -161,6 +161,8 @@ WORDS, PARTS, PART_BITS, RADIUS = 5, 12, 28, 2
 #: Lanes of 64 further bits that check a candidate, and how many of them may differ: at a similarity of 0.8 one in
 #: 6.6 does, that is 19.4 of 128.
 CHECKS, DIFFERING = 2, 24
+#: Rows that are gathered before their buckets are compared.
+GATHER = 1 << 17
 #: Odd numbers that tell apart a shingle's words, and a hash's lanes.
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -243,7 +245,7 @@ def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa
         rows = np.stack([b.column(c).to_numpy() for c in ("key", "node", "c0", "c1")])
         held.append(rows)
         size += rows.shape[1]
-        if size >= 1 << 17:
+        if size >= GATHER:
             rows = np.hstack(held)
             cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last bucket may go on
             if cut:

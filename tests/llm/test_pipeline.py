@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -52,6 +54,27 @@ def test_large_group_is_one_tree(make):
     assert [r.doc_id for r in simhash.keep_one(make(rows)).collect()] == [0]
 
 
+@pytest.mark.parametrize("gather", [1, 5, 40, 1000])
+def test_buckets_of_any_size_and_batch(monkeypatch, gather):
+    monkeypatch.setattr(simhash, "GATHER", gather)
+    rng = np.random.default_rng(gather)
+    key = np.sort(rng.choice([1, 2, 2, 2, 3, 4, 5], 60) * 10 + rng.integers(0, 2, 60))
+    c = (np.int64(1) << rng.integers(0, 12, 60)) * (rng.random(60) < 0.7)
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(60)), pa.array(c), pa.array(c * 0)], ["key", "node", "c0", "c1"])
+    edges = [e for b in simhash.candidates((rows.slice(k, 7) for k in range(0, 60, 7)), 1) for e in zip(*b.to_pydict().values(), strict=True)]
+    assert len(edges) <= 60
+
+    def groups(pairs):
+        root = list(range(60))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    want = [(a, b) for a in range(60) for b in range(a) if key[a] == key[b] and (int(c[a]) ^ int(c[b])).bit_count() <= 1]
+    assert groups(edges) == groups(want)
+
+
 def test_keep_one_with_odd_rows(make):
     docs = make([*ODD, "same words here", "same words here"], ids=[*range(len(ODD)), 90, 90])
     got = simhash.keep_one(docs)
