@@ -85,10 +85,16 @@ def csr_pointers(t: Tensor, rows: DataFrame | None = None) -> DataFrame:
     return running_sum(every, "r", F.coalesce("n", F.lit(0))).select("r", F.col("running").alias("pos_end"))
 
 
-def to_csr(t: Tensor) -> tuple[DataFrame, DataFrame]:
-    """Pointers ``(r, pos_end)`` and entries sorted by row and column."""
+def to_csr(t: Tensor, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pointers ``(r, pos_end)`` and entries ``(p, j, v)`` numbered by row and column from 0."""
+    i, j = t.dims
     got = to_sparse(t, "ds")
-    return csr_pointers(got), got.sorted()
+    pointers = csr_pointers(got, rows)
+    size = got.df.groupBy(F.col(i).alias("r")).agg(F.count("*").alias("n"))
+    start = pointers.join(size, "r").select(F.col("r").alias(i), (F.col("pos_end") - F.col("n")).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(i).orderBy(j)) - 1
+    entries = got.df.join(start, i).select((F.col("start") + inside).cast("bigint").alias("p"), j, VALUE)
+    return pointers, entries
 
 
 def row_counts(t: Tensor) -> DataFrame:

@@ -221,10 +221,45 @@ select token, n, cast(rn + 1 as integer) as id from r where rn <= 1000""",
     "q_embedding_sddmm": """select a.vec_id as i, b.vec_id as j, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 5) + cast(0 as double) as v
 from embeddings a join embeddings b on b.vec_id between a.vec_id - 4 and a.vec_id + 4""",
 }
+#: Statements over the prelude's operands.
+LAYERED = {
+    "q_attention4": """select p.b as b, p.h as h, p.i as i, w.d as d, sum(p.v * w.v) as v from
+(select cast(l_linenumber % 2 as bigint) as b, l_orderkey % 3 as h, l_partkey % 40 as i, l_suppkey % 30 as j, sum(l_quantity) as v from lineitem group by 1, 2, 3, 4) p join
+(select cast(l_linenumber % 2 as bigint) as b, l_orderkey % 3 as h, l_suppkey % 30 as j, l_partkey % 8 as d, sum(l_quantity) as v from lineitem group by 1, 2, 3, 4) w
+on p.b = w.b and p.h = w.h and p.j = w.j group by p.b, p.h, p.i, w.d""",
+    "q_gcn_forward": """, E as (select s, d from U union all select s_suppkey, s_suppkey from supplier),
+NE as (select s, count(*) as n from E group by s),
+AD as (select e.s as s, e.d as d, 1 / sqrt(cast(x.n as double)) / sqrt(cast(y.n as double)) as w from E e join NE x on e.s = x.s join NE y on e.d = y.s),
+W1 as (select * from (values (0, 0, 0.1e0), (0, 1, -0.2e0), (0, 2, 0.3e0), (1, 0, 0.05e0), (1, 1, 0.1e0), (1, 2, -0.1e0)) t(h, f, w)),
+W2 as (select * from (values (0, 0, 0.2e0), (0, 1, -0.4e0), (1, 0, -0.3e0), (1, 1, 0.6e0)) t(o, h, w)),
+XW as (select K.k as k, W1.h as h, sum(K.v * W1.w) as v from K join W1 on K.f = W1.f group by 1, 2),
+H as (select AD.s as i, XW.h as h, greatest(sum(AD.w * XW.v) + case when XW.h = 0 then 0.5e0 else -0.25e0 end, 0e0) as v from AD join XW on AD.d = XW.k group by 1, 2),
+HW as (select H.i as k, W2.o as o, sum(H.v * W2.w) as v from H join W2 on H.h = W2.h group by 1, 2),
+O as (select AD.s as i, HW.o as o, sum(AD.w * HW.v) + case when HW.o = 0 then 0.1e0 else 0e0 end as v from AD join HW on AD.d = HW.k group by 1, 2)
+select i, cast(o as bigint) as o, round(v - m - ln(sum(exp(v - m)) over (partition by i)), 6) + 0e0 as lp from (select i, o, v, max(v) over (partition by i) as m from O) z""",
+    "q_autoencoder": """, W1 as (select * from (values (0, 0, 0.1e0), (0, 1, -0.2e0), (0, 2, 0.3e0), (1, 0, 0.05e0), (1, 1, 0.1e0), (1, 2, -0.1e0)) t(h, f, w)),
+W2 as (select * from (values (0, 0, 0.2e0), (0, 1, -0.4e0), (1, 0, -0.3e0), (1, 1, 0.6e0)) t(o, h, w)),
+H as (select W1.h as h, K.k as k, greatest(sum(W1.w * K.v) + case when W1.h = 0 then 0.5e0 else -0.25e0 end, 0e0) as v from W1 join K on W1.f = K.f group by 1, 2)
+select cast(W2.o as bigint) as o, H.k as k, round(1 / (1 + exp(-(sum(W2.w * H.v) + case when W2.o = 0 then 0.1e0 else 0e0 end))), 6) as y from W2 join H on W2.h = H.h group by W2.o, H.k""",
+    "q_positional": """select s_suppkey as i, f, round(case when f % 2 = 0 then sin(s_suppkey / pow(10000e0, (f - f % 2) / 4e0)) else cos(s_suppkey / pow(10000e0, (f - f % 2) / 4e0)) end, 6) + 0e0 as pe from supplier cross join (select unnest(range(4)) as f) g""",
+    "q_layer_norm": """select k, f, round((v - avg(v) over (partition by k)) / sqrt(var_pop(v) over (partition by k) + 0.00001e0), 6) + 0e0 as normed from K""",
+    "q_csr_round_trip": "select k, j, v from B",
+    "q_accuracy": """select round(avg(case when z.k % 2 = p.p_size % 2 then 1e0 else 0e0 end), 9) as accuracy from (select j, k, row_number() over (partition by j order by v desc, k) as rn from B) z join part p on z.j = p.p_partkey where rn = 1 and p.p_partkey % 3 = 0""",
+    "q_relabel": "select s_suppkey, row_number() over (order by s_suppkey) - 1 as rank from supplier where s_suppkey % 3 = 1",
+    "q_runtime": "select event_type, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std from events group by event_type",
+    "q_mse": "select round(avg((l_discount - l_tax) * (l_discount - l_tax)), 9) as mse from lineitem",
+}
+EXTRA["q_encode"] = """with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) as token, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9'']+'), 1) as pos from documents),
+c as (select token, count(*) as n from w group by token),
+r as (select token, row_number() over (order by n desc, token) + 1 as id, row_number() over (order by n desc, token) as rn from c),
+e as (select w.doc_id, w.pos, coalesce(case when r.rn <= 1000 then r.id end, 0) as id from w left join r on r.token = w.token where w.pos <= 8),
+l as (select doc_id, list(id order by pos) as ids from e group by doc_id)
+select doc_id, array_to_string(list_concat(ids, list_transform(range(8 - len(ids)), lambda x: 1)), ',') as ids from l"""
 #: Other ways to the same result.
-SAME = {"q_spmm_long": "q_spmm", "q_matmul_vector": "q_spmv"}
+SAME = {"q_transposed_rhs": "q_spmm", "q_spmm_long": "q_spmm", "q_matmul_vector": "q_spmv"}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: f"{PRELUDE} {sql}" for name, (_, sql) in STATEMENTS.items()}
+    out |= {name: f"{PRELUDE.rstrip()}{sql}" if sql.startswith(",") else f"{PRELUDE} {sql}" for name, sql in LAYERED.items()}
     return out | EXTRA | {name: out[other] for name, other in SAME.items()}

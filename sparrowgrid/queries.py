@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowgrid.functions.activations import gelu, sigmoid, tanh
+from sparrowgrid.functions.activations import gelu, positional_encoding, sigmoid, tanh
 from sparrowgrid.operators import attention, convert, graph, prune, tables
 from sparrowgrid.operators.contract import contract, einsum, matmul, mttkrp, outer, sddmm, spgemm, spmm, spmm_rows, spmv, ttm
 from sparrowgrid.operators.elementwise import add, broadcast_mode, div, hadamard, sub
@@ -181,6 +181,63 @@ def _embedding_sddmm(x: Tables) -> DataFrame:
     return pairs.select("i", "j", (F.round(dot, 5) + 0.0).alias(VALUE))
 
 
+def _four_dims(x: Tables) -> DataFrame:
+    keys = lambda cols: x.read("lineitem").select(*[(F.col(c) % n).cast("bigint").alias(d) for d, (c, n) in cols.items()], F.col("l_quantity").alias(VALUE))
+    p = Tensor.from_df(keys({"b": ("l_linenumber", 2), "h": ("l_orderkey", 3), "i": ("l_partkey", 40), "j": ("l_suppkey", 30)}), list("bhij"))
+    v = Tensor.from_df(keys({"b": ("l_linenumber", 2), "h": ("l_orderkey", 3), "j": ("l_suppkey", 30), "d": ("l_partkey", 8)}), list("bhjd"))
+    return attention.multi_head_attention(p, v).df
+
+
+def _weights(x: Tables, rows: list[list[float]], dims: tuple[str, str]) -> Tensor:
+    cells = [(i, j, float(v)) for i, r in enumerate(rows) for j, v in enumerate(r)]
+    return Tensor(x.spark.createDataFrame(cells, f"{dims[0]} long, {dims[1]} long, v double"), dims, (len(rows), len(rows[0])), "dd")
+
+
+def _vector(x: Tables, values: list[float], dim: str) -> Tensor:
+    return Tensor(x.spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], f"{dim} long, v double"), (dim,), (len(values),), "d")
+
+
+#: Small weights of the layered queries, the same as in their SQL.
+W1, B1, W2, B2 = [[0.1, -0.2, 0.3], [0.05, 0.1, -0.1]], [0.5, -0.25], [[0.2, -0.4], [-0.3, 0.6]], [0.1, 0.0]
+
+
+def _gcn_forward(x: Tables) -> DataFrame:
+    a = graph.gcn_adjacency(x.edges, x.nodes)
+    got = graph.gcn_forward(a, x.k, _weights(x, W1, ("h", "f")), _vector(x, B1, "h"), _weights(x, W2, ("o", "h")), _vector(x, B2, "o"))
+    i, o = got.dims
+    return got.df.select(F.col(i).alias("i"), F.col(o).alias("o"), (F.round(VALUE, 6) + 0.0).alias("lp"))
+
+
+def _autoencoder(x: Tables) -> DataFrame:
+    inputs = convert.transpose(x.k)
+    got = prune.sparse_layers(inputs, [(_weights(x, W1, ("h", "f")), _vector(x, B1, "h"), "relu"), (_weights(x, W2, ("o", "h")), _vector(x, B2, "o"), "sigmoid")])
+    o, k = got.dims
+    return got.df.select(F.col(o).alias("o"), F.col(k).alias("k"), F.round(VALUE, 6).alias("y"))
+
+
+def _positional(x: Tables) -> DataFrame:
+    grid = x.nodes.crossJoin(x.spark.range(4).withColumnRenamed("id", "f"))
+    return grid.select(F.col("s_suppkey").alias("i"), "f", (F.round(positional_encoding(F.col("s_suppkey"), F.col("f"), 4), 6) + 0.0).alias("pe"))
+
+
+def _encode(x: Tables) -> DataFrame:
+    toks = tables.tokens(x.read("documents"), "doc_id", "text")
+    got = tables.encode(toks, tables.vocabulary(toks, 1002), "doc_id", 8)
+    return got.select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+def _csr_round_trip(x: Tables) -> DataFrame:
+    b = convert.transpose(x.b)
+    pointers, entries = convert.to_csr(b, x.nodes)
+    return Tensor.from_csr(pointers.withColumnRenamed("r", "k"), entries, ("k", "j")).df
+
+
+def _accuracy(x: Tables) -> DataFrame:
+    predicted = graph.argmax(x.b).select("j", (F.col("k") % 2).alias("pred"))
+    truth = x.read("part").select(F.col("p_partkey").alias("j"), (F.col("p_size") % 2).cast("bigint").alias("y"), (F.col("p_partkey") % 3 == 0).alias("test"))
+    return graph.masked_accuracy(predicted, truth, "j", "test").select(F.round("accuracy", 9).alias("accuracy"))
+
+
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "q_coalesce": lambda x: x.a.df,
     "q_spmv": lambda x: spmv(x.a, x.vector("part", "p_partkey", "p_size", "j")).df,
@@ -233,6 +290,18 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "q_completed": lambda x: tables.completed(x.read("events"), "user_id", "event_type", ("click", "error")),
     "q_vocabulary": _text_vocabulary,
     "q_embedding_sddmm": _embedding_sddmm,
+    "q_attention4": lambda x: _four_dims(x),
+    "q_transposed_rhs": lambda x: einsum("ij,fj->if", x.a, convert.transpose(x.d)).df,
+    "q_gcn_forward": lambda x: _gcn_forward(x),
+    "q_autoencoder": lambda x: _autoencoder(x),
+    "q_positional": lambda x: _positional(x),
+    "q_layer_norm": lambda x: tables.layer_norm(x.k.df, "k", VALUE).select("k", "f", (F.round("normed", 6) + 0.0).alias("normed")),
+    "q_encode": lambda x: _encode(x),
+    "q_csr_round_trip": lambda x: _csr_round_trip(x),
+    "q_accuracy": lambda x: _accuracy(x),
+    "q_relabel": lambda x: graph.relabel(x.nodes.filter("s_suppkey % 3 = 1")),
+    "q_runtime": lambda x: tables.runtime_by_size(x.read("events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")),
+    "q_mse": lambda x: tables.mean_squared_error(x.read("lineitem"), "l_discount", "l_tax").select(F.round("mse", 9).alias("mse")),
     "q_spmm_long": lambda x: spmm(x.a, x.d).df,
     "q_matmul_vector": lambda x: matmul(x.a, x.vector("part", "p_partkey", "p_size", "j")).df,
 }

@@ -68,3 +68,16 @@ def random_sparse(spark: SparkSession, m: int, n: int, density: float, seed: int
     cells = rows.select("i", F.pmod(h, F.lit(n)).alias("j"), (F.pmod(F.xxhash64("i", "t", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)).alias(VALUE))
     cells = cells.dropDuplicates(["i", "j"]) if each else cells.limit(0)
     return Tensor(cells, ("i", "j"), (m, n), "oo")
+
+
+def random_exact(spark: SparkSession, m: int, n: int, nnz: int, seed: int) -> Tensor:
+    """Exactly ``nnz`` distinct random coordinates: twice as many hashed draws are made distinct, and the first by
+    another hash are kept by a distributed top-k."""
+    if nnz > m * n // 2:
+        raise ValueError("more than half of the cells: prune a dense tensor instead")
+    draws = spark.range(2 * nnz + 64).select(
+        F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n)).alias("j")
+    ).distinct()
+    kept = draws.orderBy(F.xxhash64("i", "j", F.lit(seed)), "i", "j").limit(nnz)
+    value = (F.pmod(F.xxhash64("i", "j", F.lit(seed + 2)), F.lit(1 << 30)) + 1) / float(1 << 30)
+    return Tensor(kept.select("i", "j", value.alias(VALUE)), ("i", "j"), (m, n), "oo")

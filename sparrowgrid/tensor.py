@@ -103,6 +103,17 @@ class Tensor:
         """Stored cells, explicit zeros included."""
         return self.df.count()
 
+    def to_numpy(self, most: int = 10_000_000):
+        """A numpy array of a tensor of known shape with at most ``most`` cells; more are refused, not cut."""
+        import numpy as np
+
+        if None in self.shape or (cells := int(np.prod(self.shape))) > most:
+            raise ShapeError(f"{self.shape} is unknown or beyond {most} cells")
+        out = np.zeros(self.shape)
+        got = self.df.limit(cells + 1).toPandas()
+        np.add.at(out, tuple(got[d].to_numpy() for d in self.dims), got[VALUE].to_numpy())
+        return out
+
     def rename(self, *dims: str) -> Tensor:
         if len(dims) != self.rank:
             raise ShapeError(f"{len(dims)} names for {self.rank} modes")
@@ -138,10 +149,15 @@ class Tensor:
 
         return sub(self, other)
 
-    def __mul__(self, other: Tensor) -> Tensor:
+    def __mul__(self, other: Tensor | float) -> Tensor:
         from sparrowgrid.operators.elementwise import hadamard
 
-        return hadamard(self, other)
+        return hadamard(self, other) if isinstance(other, Tensor) else self.map(lambda v: v * other)
+
+    __rmul__ = __mul__
+
+    def __neg__(self) -> Tensor:
+        return self.map(lambda v: -v)
 
     def __truediv__(self, other: Tensor) -> Tensor:
         from sparrowgrid.operators.elementwise import div

@@ -52,7 +52,7 @@ def test_matrix_product_and_sum(spark):
     assert dense(a @ b, (5, 5)).tolist() == [[1, 4, 0, 19, 5], [2, 4, 0, 0, 0], [3, 0, 3 * 0, 0, 0], [0] * 5, [5, 0, 0, 15, 5]]
     pointers, entries = convert.to_csr(a + b)
     assert [r.pos_end for r in pointers.orderBy("r").collect()] == [5, 7, 9, 10, 13]
-    assert [r.v for r in entries.collect()] == [2, 2, 3, 4, 5, 2, 4, 3, 3, 1, 5, 3, 6]
+    assert [r.v for r in entries.orderBy("p").collect()] == [2, 2, 3, 4, 5, 2, 4, 3, 3, 1, 5, 3, 6]
 
 
 def test_csr_round_trip(spark):
@@ -61,6 +61,16 @@ def test_csr_round_trip(spark):
     assert cells(Tensor.from_csr(rows, entries, ("i", "j"))) == {(0, 4): 1, (0, 5): 2, (2, 0): 3}
 
 
+def test_scalars_and_numpy(spark):
+    a = tensor(spark, A5, ["i", "j"])
+    assert (2 * a - a).to_numpy().tolist() == A5 and (-a).to_numpy()[0, 1] == -2
+    with pytest.raises(ShapeError):
+        a.to_numpy(most=24)
+    pointers, entries = convert.to_csr(a)
+    back = Tensor.from_csr(pointers.withColumnRenamed("r", "i"), entries, ("i", "j"), (5, 5))
+    assert back.to_numpy().tolist() == A5
+
+
 def test_explicit_zero_goes_in_conversion_only(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0), (2, 2, 3.0), (2, 3, 4.0), (3, 3, 0.0), (4, 4, 5.0)], "i bigint, j bigint, v double")
     t = Tensor.from_df(df, ["i", "j"], shape=(5, 5))
@@ -210,11 +220,13 @@ def test_text_tables(spark):
 def test_mtx(spark, tmp_path):
     p = tmp_path / "m.mtx"
     p.write_text("%%MatrixMarket matrix coordinate real symmetric\n% note\n3 3 3\n1 1 2.0\n2 1 5.0\n3 2 7.0\n")
-    from sparrowgrid.sources.matrix import random_sparse, read_mtx
+    from sparrowgrid.sources.matrix import random_exact, random_sparse, read_mtx
 
     t = read_mtx(spark, str(p))
     assert t.shape == (3, 3)
     assert dense(t, (3, 3)).tolist() == [[2, 5, 0], [5, 0, 7], [0, 7, 0]]
+    e = random_exact(spark, 40, 30, 500, 3)
+    assert e.nnz() == 500 and len(cells(e)) == 500 and all(0 <= i < 40 and 0 <= j < 30 and 0 < v <= 1 for (i, j), v in cells(e).items())
     r = random_sparse(spark, 50, 40, 0.1, 1)
     assert r.nnz() == random_sparse(spark, 50, 40, 0.1, 1).nnz() <= 200
 
