@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.llm.common import bucket_of, order_splits
 
 #: Words of a paragraph at most; cells of the published sketch; growth of a retry; tries; waves of peeling of a try.
-RUN, CELLS, GROWTH, TRIES, WAVES = 20, 24, 8, 9, 24
+RUN, CELLS, GROWTH, TRIES, WAVES = 32, 24, 8, 9, 24
 #: Digests have 40 bits, so that sums of millions of equal ones fit 63.
 BITS = 40
 DIGEST, CHECK = (1 << BITS) - 1, (1 << 20) - 1
@@ -100,14 +100,14 @@ def place(x: Column, table: Column | int, cells: int) -> Column:
 
 def sketch(digests: Column, cells: int) -> Column:
     """The nonzero cells of an array of digests, in order, as (place i, count n, sum s, check sum c)."""
-    put = F.array_sort(F.flatten(F.transform(digests, lambda x: F.array(*[F.shiftleft(place(x, t, cells), BITS) + x for t in range(3)]))))  # place and digest in one number: cheap to sort
+    put = F.sort_array(F.flatten(F.transform(digests, lambda x: F.array(*[F.shiftleft(place(x, t, cells), BITS) + x for t in range(3)]))))  # place and digest in one number: cheap to sort
     one = F.lit(1)
     return _merged(F.transform(put, lambda y: _cell(F.shiftright(y, BITS), one, y.bitwiseAND(F.lit(DIGEST)), check_of(y.bitwiseAND(F.lit(DIGEST))))))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """Cell by cell difference of two sketches of one size."""
-    return _merged(F.array_sort(F.concat(a, F.transform(b, lambda x: _cell(x["i"], -x["n"], -x["s"], -x["c"])))))
+    return _merged(F.sort_array(F.concat(a, F.transform(b, lambda x: _cell(x["i"], -x["n"], -x["s"], -x["c"])))))
 
 
 def peel(cells_of: Column, cells: int, waves: int = WAVES) -> Column:
@@ -131,7 +131,7 @@ def peel(cells_of: Column, cells: int, waves: int = WAVES) -> Column:
             every = F.transform(p, lambda x: F.call_function("div", x["s"], x["n"]))
 
             def with_keys(v: Column) -> Column:
-                keys = F.transform(F.array_distinct(v), lambda k: F.struct(k.alias("k"), F.get(p, (F.array_position(v, k) - 1).cast("int"))["n"].alias("n"), *[place(k, t, cells).alias(f"h{t}") for t in range(3)]))
+                keys = F.transform(F.array_distinct(v), lambda k: F.struct(k.alias("k"), F.get(p, (F.array_position(v, k) - 1).cast("int"))["n"].alias("n"), check_of(k).alias("c"), *[place(k, t, cells).alias(f"h{t}") for t in range(3)]))
 
                 def with_places(z: Column) -> Column:
                     hs = [F.transform(z, lambda q: q["h0"]), F.transform(z, lambda q: q["h1"]), F.transform(z, lambda q: q["h2"])]
@@ -140,8 +140,8 @@ def peel(cells_of: Column, cells: int, waves: int = WAVES) -> Column:
                         alone = F.filter(z, lambda q, at: (F.array_position(h["h0"], q["h0"]) == at + 1) & (F.array_position(h["h1"], q["h1"]) == at + 1) & (F.array_position(h["h2"], q["h2"]) == at + 1))
 
                         def apply(taken: Column) -> Column:
-                            minus = F.flatten(F.transform(taken, lambda q: F.array(*[_cell(q[f"h{t}"], -q["n"], -q["n"] * q["k"], -q["n"] * check_of(q["k"])) for t in range(3)])))
-                            left = _merged(F.array_sort(F.concat(state["cells"], minus)))
+                            minus = F.flatten(F.transform(taken, lambda q: F.array(*[_cell(q[f"h{t}"], -q["n"], -q["n"] * q["k"], -q["n"] * q["c"]) for t in range(3)])))
+                            left = _merged(F.sort_array(F.concat(state["cells"], minus)))
                             diff = state["diff"] + F.aggregate(taken, F.lit(0).cast("bigint"), lambda a, q: a + F.abs(q["n"]))
                             return F.struct(left.alias("cells"), diff.alias("diff"), (F.size(taken) > 0).alias("go"))
 
@@ -159,6 +159,10 @@ def peel(cells_of: Column, cells: int, waves: int = WAVES) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(waves)), start, wave, lambda a: F.when(F.size(a["cells"]) == 0, a["diff"]))
 
 
+def _attempt(cells_of: Column, cells: int) -> Column:
+    return _let(cells_of, lambda d: F.when(F.size(d) <= cells - cells // 8, peel(d, cells)))
+
+
 def difference(a: Column, b: Column, first: tuple[Column, Column] | None = None, cells: int = CELLS) -> Column:
     """The number of digests, with multiplicity, in which two arrays differ, found by sketches that grow until one
     peels: a larger one is only made where the last failed. ``first`` are the sketches of ``cells`` if they're there.
@@ -168,7 +172,8 @@ def difference(a: Column, b: Column, first: tuple[Column, Column] | None = None,
     tries = []
     for k in range(TRIES):
         x, y = first if first and not k else (sketch(a, cells), sketch(b, cells))
-        tries.append(peel(subtract(x, y), cells))
+        # with more than 7/8 of its cells in use a difference is beyond what peels, so it isn't begun
+        tries.append(_attempt(subtract(x, y), cells))
         cells *= GROWTH
     return F.coalesce(*tries)
 

@@ -11,7 +11,7 @@ from tests.llm.conftest import ODD
 
 
 def parts(t):
-    return re.findall(r"(?:[^ \n]+ *){1,20}\n*|[ \n]+", t)
+    return re.findall(r"(?:[^ \n]+ *){1,32}\n*|[ \n]+", t)
 
 
 def brute(rows):
