@@ -113,8 +113,7 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(cells_of: Column, cells: int, waves: int = WAVES) -> Column:
     """How many digests, with multiplicity, a difference holds; null if cells remain that can't be peeled.
 
-    A wave takes the digests of pure cells. Of several that share another cell just the first is taken, and the
-    others in a later wave, so that each cell loses one digest a wave and table.
+    A wave takes the digests of all pure cells out of their three cells.
     """
     width = cells // 3
 
@@ -125,35 +124,21 @@ def peel(cells_of: Column, cells: int, waves: int = WAVES) -> Column:
         return F.when(x["n"] != 0, F.when(fine, sums).otherwise(False)).otherwise(False)
 
     def wave(state: Column, _: Column) -> Column:
-        found = F.filter(state["cells"], pure)
-
         def with_found(p: Column) -> Column:
-            every = F.transform(p, lambda x: F.call_function("div", x["s"], x["n"]))
-
-            def with_keys(v: Column) -> Column:
-                keys = F.transform(F.array_distinct(v), lambda k: F.struct(k.alias("k"), F.get(p, (F.array_position(v, k) - 1).cast("int"))["n"].alias("n"), check_of(k).alias("c"), *[place(k, t, cells).alias(f"h{t}") for t in range(3)]))
-
-                def with_places(z: Column) -> Column:
-                    hs = [F.transform(z, lambda q: q["h0"]), F.transform(z, lambda q: q["h1"]), F.transform(z, lambda q: q["h2"])]
-
-                    def take(h: Column) -> Column:
-                        alone = F.filter(z, lambda q, at: (F.array_position(h["h0"], q["h0"]) == at + 1) & (F.array_position(h["h1"], q["h1"]) == at + 1) & (F.array_position(h["h2"], q["h2"]) == at + 1))
-
-                        def apply(taken: Column) -> Column:
-                            minus = F.flatten(F.transform(taken, lambda q: F.array(*[_cell(q[f"h{t}"], -q["n"], -q["n"] * q["k"], -q["n"] * q["c"]) for t in range(3)])))
-                            left = _merged(F.sort_array(F.concat(state["cells"], minus)))
-                            diff = state["diff"] + F.aggregate(taken, F.lit(0).cast("bigint"), lambda a, q: a + F.abs(q["n"]))
-                            return F.struct(left.alias("cells"), diff.alias("diff"), (F.size(taken) > 0).alias("go"))
-
-                        return _let(alone, apply)
+            def with_digests(v: Column) -> Column:
+                # a digest that is alone in several cells is taken once
+                taken = F.transform(F.array_distinct(v), lambda k: F.struct(k.alias("k"), F.get(p, (F.array_position(v, k) - 1).cast("int"))["n"].alias("n"), check_of(k).alias("c")))
 
-                    return _let(F.struct(*[h.alias(f"h{t}") for t, h in enumerate(hs)]), take)
+                def without(z: Column) -> Column:
+                    minus = F.flatten(F.transform(z, lambda q: F.array(*[_cell(place(q["k"], t, cells), -q["n"], -q["n"] * q["k"], -q["n"] * q["c"]) for t in range(3)])))
+                    diff = state["diff"] + F.aggregate(z, F.lit(0).cast("bigint"), lambda a, q: a + F.abs(q["n"]))
+                    return F.struct(_merged(F.sort_array(F.concat(state["cells"], minus))).alias("cells"), diff.alias("diff"), (F.size(z) > 0).alias("go"))
 
-                return _let(keys, with_places)
+                return _let(taken, without)
 
-            return _let(every, with_keys)
+            return _let(F.transform(p, lambda x: F.call_function("div", x["s"], x["n"])), with_digests)
 
-        return F.when(state["go"] & (F.size(state["cells"]) > 0), _let(found, with_found)).otherwise(state)
+        return F.when(state["go"] & (F.size(state["cells"]) > 0), _let(F.filter(state["cells"], pure), with_found)).otherwise(state)
 
     start = F.struct(cells_of.alias("cells"), F.lit(0).cast("bigint").alias("diff"), F.lit(True).alias("go"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(waves)), start, wave, lambda a: F.when(F.size(a["cells"]) == 0, a["diff"]))
