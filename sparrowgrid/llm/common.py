@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -35,9 +36,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps: Spark removes them once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's modules to the executors, once a context; Spark's file server carries them."""
     sc = spark.sparkContext

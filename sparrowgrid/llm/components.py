@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from sparrowgrid.llm.common import written
 
 
+def _least(e: DataFrame) -> DataFrame:
+    """Each node's least neighbour, written: a join with it reads two plain shuffles, of which adaptive execution can
+    split the part of a node with very many edges."""
+    return written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+
+
 def _large(e: DataFrame) -> DataFrame:
     """Every larger neighbour of a node goes to the least of its neighbours and itself."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(both)
     got = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     return got.filter("u <> v").distinct()
 
@@ -19,7 +25,7 @@ def _large(e: DataFrame) -> DataFrame:
 def _small(e: DataFrame) -> DataFrame:
     """A node and its smaller neighbours all go to the least of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(down)
     joined = down.join(least, "u")
     got = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return got.filter("u <> v").distinct()

@@ -153,15 +153,21 @@ def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BL
     m = mix(docs, weights, block=block)
     got = m.pieces.groupBy("sid", "chunk", "row", "turn").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.first("doc_id").alias("doc_id"))
     copies = got.join(m.docs.select("sid", "chunk", "row", "size"), ["sid", "chunk", "row"]).filter("2 * taken >= size")
-    names = {s.sid: s.source for s in m.sources}
-    table = docs.sparkSession.createDataFrame(list(names.items()), "sid int, _source string")
-    # rows that share doc_id, source and size are told apart by number
-    keyed = copies.join(table, "sid").groupBy("doc_id", "_source", "size", "row", "chunk").agg(F.count("*").alias("_copies"))
-    keyed = keyed.groupBy("doc_id", "_source", "size").agg(F.array_sort(F.collect_list("_copies")).alias("_copies"))
-    size = word_count(F.col("text"))
-    own = docs.withColumn("_size", size)
-    alone = own.join(keyed.select(F.col("doc_id").alias("_doc"), "_source", F.col("size").alias("_words"), "_copies"),
-                     F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")))
-    n = F.row_number().over(Window.partitionBy("_doc", "_source", "_words").orderBy("text"))
-    numbered = alone.withColumn("_n", n).withColumn("_k", F.get("_copies", F.col("_n") - 1)).filter("_k is not null")
-    return numbered.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*docs.columns)
+    table = docs.sparkSession.createDataFrame([(s.sid, s.source) for s in m.sources], "sid int, source string")
+    # keys without nulls, so that the join and the numbering below share one deal of the texts; rows that agree in
+    # doc_id, source and size are told apart by number
+    keyed = copies.join(table, "sid").select(*_keys(F.col("size")), "chunk", "row").groupBy(*KEYS, "chunk", "row").agg(F.count("*").alias("copies"))
+    keyed = keyed.groupBy(*KEYS).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), "text", *_keys(word_count(F.col("text"))))
+    number = F.row_number().over(Window.partitionBy(*KEYS).orderBy("text"))
+    taken = rows.join(keyed, KEYS).withColumn("k", F.get("copies", number - 1)).filter("k is not null")
+    return taken.select("r", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("turn")).select("r.*")
+
+
+KEYS = ["dk", "sk", "nulls", "size"]
+
+
+def _keys(size: Column) -> list[Column]:
+    doc, source = F.col("doc_id").cast("bigint"), F.col("source")
+    nulls = doc.isNull().cast("int") * 2 + source.isNull().cast("int")
+    return [F.coalesce(doc, F.lit(0).cast("bigint")).alias("dk"), F.coalesce(source, F.lit("")).alias("sk"), nulls.alias("nulls"), size.alias("size")]

@@ -14,7 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.common import arrow_map, written
@@ -161,6 +161,8 @@ WORDS, PARTS, PART_BITS, RADIUS = 5, 12, 28, 2
 #: Lanes of 64 further bits that check a candidate, and how many of them may differ: at a similarity of 0.8 one in
 #: 6.6 does, that is 19.4 of 128.
 CHECKS, DIFFERING = 2, 24
+#: Members of a bucket that one task compares; a larger bucket is dealt to a triangle of tasks.
+MEMBERS = 4096
 #: Rows that are gathered before their buckets are compared.
 GATHER = 1 << 17
 #: Odd numbers that tell apart a shingle's words, and a hash's lanes.
@@ -203,7 +205,7 @@ class Signer:
 
 
 def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, c0, c1) sorted by key: a forest of the links of each bucket.
+    """Rows (key, cell, node, c0, c1) sorted by key and cell: a forest of the links of each bucket's cell.
 
     All pairs of a bucket are compared, neighbours at distance 1, 2, .. of all buckets at once; what is emitted is
     one row at most for each of its members.
@@ -211,8 +213,9 @@ def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa
     held: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        key, node, c0, c1 = rows
-        parent = np.arange(len(key))
+        node, c0, c1 = rows[2:]
+        parent = np.arange(len(node))
+        bucket = np.concatenate([[0], np.cumsum((rows[:2, 1:] != rows[:2, :-1]).any(0))])
 
         def root(x: np.ndarray) -> np.ndarray:
             while True:
@@ -222,11 +225,11 @@ def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa
                 parent[x] = parent[up]
                 x = up
 
-        at, step = np.arange(len(key)), 0
+        at, step = np.arange(len(node)), 0
         while len(at):
             step += 1
-            at = at[at + step < len(key)]
-            at = at[key[at + step] == key[at]]
+            at = at[at + step < len(node)]
+            at = at[bucket[at + step] == bucket[at]]
             off = np.bitwise_count((c0[at] ^ c0[at + step]).view(np.uint64)) + np.bitwise_count((c1[at] ^ c1[at + step]).view(np.uint64))
             a = at[off <= differing]
             b = a + step
@@ -236,18 +239,19 @@ def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa
                 a, b, x, y = a[apart], b[apart], x[apart], y[apart]
                 if len(a):
                     np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        top = root(np.arange(len(key)))
-        own = np.flatnonzero((top != np.arange(len(key))) & (node != node[top]))
+        top = root(np.arange(len(node)))
+        own = np.flatnonzero((top != np.arange(len(node))) & (node != node[top]))
         return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[top[own]])], ["u", "v"])
 
     size = 0
     for b in batches:
-        rows = np.stack([b.column(c).to_numpy() for c in ("key", "node", "c0", "c1")])
+        rows = np.stack([b.column(c).to_numpy() for c in ("key", "cell", "node", "c0", "c1")])
         held.append(rows)
         size += rows.shape[1]
         if size >= GATHER:
             rows = np.hstack(held)
-            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last bucket may go on
+            other = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(0))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on
             if cut:
                 yield solve(rows[:, :cut])
             held, size = [rows[:, cut:]], rows.shape[1] - cut
@@ -264,8 +268,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, parts: int = PARTS, bits
     A signature has ``parts`` independent fingerprints of ``bits`` bits, each with the covering tables of radius
     RADIUS, so a pair that differs in at most RADIUS bits of some part meets in a bucket, and CHECKS further lanes
     decide. With 12 parts of 28 bits, a pair of similarity 0.8 meets with probability 0.91, one of 0.9 with 0.999.
-    ``bits`` must grow with the logarithm of the number of documents, to keep buckets small. Equal signatures are one
-    node. Null and empty texts are copies of each other.
+    ``bits`` must grow with the logarithm of the number of documents, to keep buckets small; a bucket of more than
+    MEMBERS is dealt to several tasks, so none holds more than twice as many. Equal signatures are one node. Null and
+    empty texts are copies of each other.
     """
     lanes = -(-parts * bits // 64) + CHECKS
     names = ["doc_id", "th", "node", "c0", "c1", *[f"p{k}" for k in range(parts)]]
@@ -280,15 +285,22 @@ def similar_groups(docs: DataFrame, words: int = WORDS, parts: int = PARTS, bits
             check = sig[:, :CHECKS].view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(node), *(pa.array(check[:, k].copy()) for k in range(CHECKS)), *(pa.array(value[:, k].copy()) for k in range(parts))], names)
 
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("th"), "text")
     schema = "doc_id long, th int, " + ", ".join(f"{n} long" for n in names[2:])
     prints = written(arrow_map(keyed, sign, schema), "signatures")
     nodes = prints.groupBy("node").agg(*[F.first(n).alias(n) for n in names[3:]])
     cover = masks(bits, RADIUS)
     tables = [F.lit((k * len(cover) + t) << 56 >> 8 if False else k * len(cover) + t).cast("bigint") * F.lit(1 << bits) + F.col(f"p{k}").bitwiseAND(F.lit(m)) for k in range(parts) for t, m in enumerate(cover)]
     rows = nodes.select(F.explode(F.array(*tables)).alias("key"), "node", "c0", "c1")
+    hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS), "hot").withColumnRenamed("key", "_k")
+    # a bucket of g groups of MEMBERS has a task for each two groups: a member of group s goes to those of s and any t
+    groups = F.ceil(F.col("n") / MEMBERS)
+    own = F.pmod(F.xxhash64("node", F.lit(2)), groups)
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), lambda t: F.least(own, t) * groups + F.greatest(own, t))
+    cell = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(cells)).alias("cell")
+    rows = rows.join(hot, F.col("key") == F.col("_k"), "left").select("key", cell, "node", "c0", "c1")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
+    dealt = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell")
     edges = arrow_map(dealt, lambda batches: candidates(batches, differing), "u long, v long")
     roots = components(edges)
     got = prints.select("doc_id", "th", "node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
@@ -298,9 +310,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS, parts: int = PARTS, bits
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` with one row of each group of near copies: the least doc_id's (nulls last), of repeated rows one."""
     groups = similar_groups(docs, **options)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))).alias("least")
-    first = groups.groupBy("root").agg(least).select(F.col("least.doc_id").alias("_d"), F.col("least.th").alias("_t")).distinct()
-    own = docs.withColumn("_h", F.hash(F.coalesce("text", F.lit(""))))
-    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
-    order = Window.partitionBy("_d", "_t").orderBy("text")
-    return own.join(first, on).withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(*docs.columns)
+    doc = F.col("doc_id").cast("bigint")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("dk"), F.col("th").alias("th"))).alias("least")
+    first = groups.groupBy("root").agg(least).select("least.*").distinct()
+    # keys without nulls, so that the join and the numbering share one deal of the texts
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), "text", doc.isNull().alias("z"), F.coalesce(doc, F.lit(0).cast("bigint")).alias("dk"), _text_hash().alias("th"))
+    order = Window.partitionBy("z", "dk", "th").orderBy("text")
+    return rows.join(first, ["z", "dk", "th"]).withColumn("n", F.row_number().over(order)).filter("n = 1").select("r.*")
+
+
+def _text_hash() -> Column:
+    return F.hash(F.coalesce("text", F.lit("")))

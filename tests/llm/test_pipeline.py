@@ -47,7 +47,9 @@ def test_near_copies_go_and_others_stay(make):
     assert fair and sum(150 + n not in kept for n in fair) >= 0.75 * len(fair)
 
 
-def test_large_group_is_one_tree(make):
+@pytest.mark.parametrize("members", [4096, 20])
+def test_large_group_is_one_tree(make, monkeypatch, members):
+    monkeypatch.setattr(simhash, "MEMBERS", members)
     rng = random.Random(4)
     text = " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(300))
     rows = [text, *[near(rng, text, 2) for _ in range(300)]]
@@ -60,7 +62,7 @@ def test_buckets_of_any_size_and_batch(monkeypatch, gather):
     rng = np.random.default_rng(gather)
     key = np.sort(rng.choice([1, 2, 2, 2, 3, 4, 5], 60) * 10 + rng.integers(0, 2, 60))
     c = (np.int64(1) << rng.integers(0, 12, 60)) * (rng.random(60) < 0.7)
-    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(60)), pa.array(c), pa.array(c * 0)], ["key", "node", "c0", "c1"])
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(key % 2 * 0), pa.array(np.arange(60)), pa.array(c), pa.array(c * 0)], ["key", "cell", "node", "c0", "c1"])
     edges = [e for b in simhash.candidates((rows.slice(k, 7) for k in range(0, 60, 7)), 1) for e in zip(*b.to_pydict().values(), strict=True)]
     assert len(edges) <= 60
 
