@@ -183,16 +183,24 @@ def repeated_strings(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, l
 
 
 # -- distributed parts ----------------------------------------------------------------------------
-ANCHOR = "doc_id long, th int, ah long, cx long, place long, first long, last long"
+#: ``at`` is the anchor's place, and in 8 bits each how far before it the first and the last of its strings start.
+ANCHOR = "dk long, th int, ah long, cx long, at long"
 
 
-def text_key() -> Column:
-    """Tells apart texts of rows that share a doc_id."""
-    return F.hash("text").alias("th")
+def unpacked(at: Column) -> tuple[Column, Column, Column]:
+    """Place, first start and last start."""
+    place = F.shiftright(at, 16)
+    return place, place - F.shiftright(at, 8).bitwiseAND(F.lit(0xFF)), place - at.bitwiseAND(F.lit(0xFF))
+
+
+def document_key() -> tuple[Column, Column]:
+    """Two columns without nulls that tell apart documents, and texts of rows that share a doc_id: a join on them is on
+    plain equality, so documents that are dealt by them aren't dealt again."""
+    return F.coalesce("doc_id", F.lit(-1).cast("bigint")).alias("dk"), F.hash("text", F.col("doc_id").isNull()).alias("th")
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """One row for each anchor of each row of ``docs`` (doc_id, th, text)."""
+    """One row for each anchor of each row of ``docs`` (dk, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,27 +209,29 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 got = [anchors(np.frombuffer(t.encode(), np.uint8)) for t in part.column("text").to_pylist()]
                 n = [len(g[0]) for g in got]
                 place, ah, cx, first, last = (np.concatenate(x) for x in zip(*got, strict=True))
-                doc = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+                doc = part.column("dk").take(pa.array(np.repeat(np.arange(len(n)), n)))
                 th = part.column("th").take(pa.array(np.repeat(np.arange(len(n)), n)))
-                yield pa.RecordBatch.from_arrays([doc, th, *(pa.array(x.view(np.int64)) for x in (ah, cx, place, first, last))], ["doc_id", "th", "ah", "cx", "place", "first", "last"])
+                at = place << 16 | (place - first) << 8 | (place - last)
+                yield pa.RecordBatch.from_arrays([doc, th, *(pa.array(x.view(np.int64)) for x in (ah, cx, at))], ["dk", "th", "ah", "cx", "at"])
 
-    return arrow_map(docs, run, ANCHOR)
+    return arrow_map(docs.select("dk", "th", "text"), run, ANCHOR)
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(ah, cx, ahead, more, bytes)``: the bytes of wanted contexts (doc_id, th, ah, cx, place, first, last).
+    """``(ah, cx, ahead, more, bytes)``: the bytes of wanted contexts (dk, th, ah, cx, at).
 
     ``ahead`` is the anchor's distance from the context's start, ``more`` its number of strings less 1.
     """
-    listed = wanted.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("ah", "cx", "place", "first", "last")).alias("w"))
-    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-    joined = docs.join(listed, on)
+    joined = docs.join(wanted.groupBy("dk", "th").agg(F.collect_list(F.struct("ah", "cx", "at")).alias("w")), ["dk", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, w in zip(b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
                 data = text.encode()
-                rows = [(x["ah"], x["cx"], x["place"] - x["first"], x["last"] - x["first"], data[x["first"] : x["last"] + LENGTH]) for x in w]
+                rows = []
+                for x in w:
+                    place, far, near = x["at"] >> 16, x["at"] >> 8 & 0xFF, x["at"] & 0xFF
+                    rows.append((x["ah"], x["cx"], far, far - near, data[place - far : place - near + LENGTH]))
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["ah", "cx", "ahead", "more", "bytes"])
 
@@ -290,41 +300,41 @@ def counted_contexts(rows: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents ``(doc_id, th, text)``, dealt by document, and ``(doc_id, th, spans)`` of bytes to remove.
+    """The documents ``(doc_id, dk, th, text)``, dealt by document, and ``(dk, th, spans)`` of bytes to remove.
 
     A null text is empty. Spans are pairs of start and end, in no order and overlapping; a document without one is
     missing. Rows that share doc_id and text have one entry.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", text_key(), "text")
+    docs = docs.select("doc_id", *document_key(), "text")
     long = docs.filter(F.octet_length("text") >= LENGTH)
     found = anchor_rows(long)
-    common_ = found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
+    # written, so that the join below reads two plain shuffles, of which a very common anchor's part can be split
+    common_ = written(found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"), "common")
     candidates = written(found.join(common_, "ah", "left_semi"), "anchors")
-    each = candidates.groupBy("ah", "cx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place", "first", "last")).alias("one"))
+    each = candidates.groupBy("ah", "cx").agg(F.count("*").alias("n"), F.min(F.struct("dk", "th", "at")).alias("one"))
     each = written(each, "contexts")
-    kinds = each.groupBy("ah").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds = written(each.groupBy("ah").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     several = each.join(kinds, "ah").select("ah", "cx", "kinds", "one.*")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartition(parts, "doc_id", "th")
+    dealt = docs.repartition(parts, "dk", "th")
     few = contexts(dealt, several.filter(F.col("kinds") <= HOT)).repartition(parts, "ah").sortWithinPartitions("ah")
     many = contexts(dealt, several.filter(F.col("kinds") > HOT))
     solved = written(arrow_map(few, sorted_contexts, FOUND).unionByName(counted_contexts(many)), "solved")
     whole = each.filter("n > 1").select("ah", "cx", F.lit(None).cast("int").alias("far"), F.lit(None).cast("int").alias("near"))
     partly = solved.join(each.filter("n = 1").select("ah", "cx"), ["ah", "cx"], "left_semi")
     hit = candidates.join(whole.unionByName(partly), ["ah", "cx"])
-    start = F.coalesce(F.col("place") - F.col("far"), F.col("first"))
-    end = F.coalesce(F.col("place") - F.col("near"), F.col("last")) + LENGTH
-    spans = hit.select("doc_id", "th", F.struct(start.alias("a"), end.alias("b")).alias("span")).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
+    place, first, last = unpacked(F.col("at"))
+    start, end = F.coalesce(place - F.col("far"), first), F.coalesce(place - F.col("near"), last) + LENGTH
+    spans = hit.select("dk", "th", F.struct(start.alias("a"), end.alias("b")).alias("span")).groupBy("dk", "th").agg(F.collect_set("span").alias("spans"))
     return dealt, spans
 
 
 def removed(docs: DataFrame, f, schema: str) -> DataFrame:
     """``f(doc_id, bytes, maximal spans)`` of every row, as rows of ``schema``."""
     dealt, spans = covered(docs)
-    s = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans")
-    joined = dealt.join(s, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "spans")
+    joined = dealt.join(spans, ["dk", "th"], "left").select("doc_id", "text", "spans")
     names = [x.split()[0] for x in schema.split(",")]
     pa_schema = to_arrow_schema(StructType.fromDDL(schema))
 
