@@ -176,7 +176,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHA
         sizes = np.array([len(i) for i in pdf["ids"]], np.int64)
         return pd.DataFrame({"d": [x.shape[1]], "shard": [pdf["shard"].iloc[0]], "x": [x.tobytes()], "lifted": [lifted.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "start": [start], "ids": [ids.tobytes()], "sizes": [sizes.tobytes()]})
 
-    graphs = sharded.select("d", "shard", "v", "ids").groupBy("d", "shard").applyInPandas(make, "d int, shard int, x binary, lifted binary, graph binary, start long, ids binary, sizes binary")
+    # a shard a task: ranges of one shard, which adaptive execution leaves as they are
+    graphs = sharded.select("d", "shard", "v", "ids").repartitionByRange(shards, "shard").groupBy("d", "shard").applyInPandas(make, "d int, shard int, x binary, lifted binary, graph binary, start long, ids binary, sizes binary")
     graphs = written(graphs, "graphs")
     asked = usable(queries, key, vector).select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
     m = asked.count()
