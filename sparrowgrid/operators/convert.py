@@ -76,7 +76,7 @@ def running_sum(df: DataFrame, order: str, value: Column, block_rows: int = 1_00
 def csr_pointers(t: Tensor, rows: DataFrame | None = None) -> DataFrame:
     """``(r, pos_end)`` for every row of the first mode, empty rows included."""
     i = t.dims[0]
-    counts = t.df.groupBy(F.col(i).alias("r")).agg(F.count("*").alias("n"))
+    counts = coalesce(t).df.groupBy(F.col(i).alias("r")).agg(F.count("*").alias("n"))
     if rows is None:
         if t.shape[0] is None:
             raise ShapeError(f"mode {i} has no extent")
@@ -98,7 +98,7 @@ def to_csr(t: Tensor, rows: DataFrame | None = None) -> tuple[DataFrame, DataFra
 
 
 def row_counts(t: Tensor) -> DataFrame:
-    return t.df.groupBy(t.dims[0]).agg(F.count("*").alias("nnz"))
+    return coalesce(t).df.groupBy(t.dims[0]).agg(F.count("*").alias("nnz"))
 
 
 def apply(t: Tensor, name: str) -> Tensor:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from sparrowgrid.operators.convert import coalesce
 from sparrowgrid.tensor import ACCUMULATOR, VALUE, ShapeError, Tensor
 
 
@@ -48,6 +49,7 @@ mul = hadamard
 def div(a: Tensor, b: Tensor) -> Tensor:
     """Cell by cell quotient on common coordinates; a stored zero in ``b`` gives null, which is no cell."""
     _agree(a, b)
+    a, b = coalesce(a), coalesce(b)
     joined = a.df.withColumnRenamed(VALUE, "_x").join(b.rename(*a.dims).df.withColumnRenamed(VALUE, "_y"), list(a.dims))
     return a.with_df(joined.select(*a.dims, F.try_divide(F.col("_x"), F.col("_y")).alias(VALUE)).dropna())
 
@@ -55,6 +57,7 @@ def div(a: Tensor, b: Tensor) -> Tensor:
 def broadcast_mode(a: Tensor, x: Tensor, mode: str, how: str = "mul") -> Tensor:
     """``A[.., j] * x[j]`` or ``A[.., j] + x[j]`` on the stored cells of ``A``."""
     (d,) = x.dims
+    a, x = coalesce(a), coalesce(x)
     joined = a.df.withColumnRenamed(VALUE, "_x").join(x.df.select(F.col(d).alias(mode), F.col(VALUE).alias("_y")), mode, "inner" if how == "mul" else "left")
     value = F.col("_x") * F.col("_y") if how == "mul" else F.col("_x") + F.coalesce("_y", F.lit(0))
     return a.with_df(joined.select(*a.dims, value.alias(VALUE)))

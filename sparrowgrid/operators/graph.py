@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.operators.contract import spgemm
+from sparrowgrid.operators.convert import coalesce
 from sparrowgrid.operators.fused import pipeline
 from sparrowgrid.tensor import VALUE, Tensor
 
@@ -39,6 +40,7 @@ def message_passing(edges: DataFrame, features: Tensor) -> Tensor:
 def log_softmax(t: Tensor) -> Tensor:
     """Over the last mode, shifted by the maximum."""
     w = Window.partitionBy(*t.dims[:-1])
+    t = coalesce(t)
     z = t.df.withColumn("_m", F.max(VALUE).over(w)).withColumn("_z", F.col(VALUE) - F.col("_m"))
     return t.with_df(z.select(*t.dims, (F.col("_z") - F.log(F.sum(F.exp("_z")).over(w))).alias(VALUE)))
 
@@ -54,6 +56,7 @@ def gcn_forward(adjacency: Tensor, x: Tensor, w1: Tensor, b1: Tensor, w2: Tensor
 def argmax(t: Tensor) -> DataFrame:
     """The coordinate of the largest value of each row; ties go to the smaller one. No row is sorted."""
     i, k = t.dims
+    t = coalesce(t)
     best = F.max_by(F.col(k), F.struct(F.col(VALUE), -F.col(k))).alias(k)
     return t.df.groupBy(i).agg(best)
 

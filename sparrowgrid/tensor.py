@@ -62,6 +62,17 @@ class Tensor:
             cells = cells.groupBy(*dims).agg(F.sum(F.col(VALUE).cast(ACCUMULATOR[dtype])).alias(VALUE))
         return Tensor(cells, tuple(dims), tuple(shape or [None] * rank), check_format(fmt or "o" * rank, rank))
 
+    @staticmethod
+    def from_cells(df: DataFrame, dims: Sequence[str], value: str = VALUE, shape: Sequence[int | None] | None = None, fmt: str | None = None) -> Tensor:
+        """As ``from_df``, but rows that share a coordinate stay as they are until an operator sums them.
+
+        Sums of products and additions don't mind, and save a shuffle; elementwise functions, counts and row
+        operators need ``convert.coalesce`` first.
+        """
+        cols = [F.col(d).cast("bigint").alias(d) for d in dims]
+        cells = df.select(*cols, F.col(value).cast("double").alias(VALUE)).dropna()
+        return Tensor(cells, tuple(dims), tuple(shape or [None] * len(dims)), check_format(fmt or "o" * len(dims), len(dims)), coalesced=False)
+
     @staticmethod
     def from_rows(df: DataFrame, key: str, array: str, dims: Sequence[str], width: int | None = None) -> Tensor:
         """A dense matrix kept as one array a row, unfolded to cells."""
@@ -125,6 +136,10 @@ class Tensor:
 
     def map(self, f) -> Tensor:
         """``f`` over stored cells; it must keep zero, or the tensor must be dense."""
+        if not self.coalesced:
+            from sparrowgrid.operators.convert import coalesce
+
+            return coalesce(self).map(f)
         return self.with_df(self.df.select(*self.dims, f(F.col(VALUE)).alias(VALUE)))
 
     def sorted(self) -> DataFrame:
