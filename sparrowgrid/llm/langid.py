@@ -30,9 +30,9 @@ LETTER, SMOOTH = 1e-7, 0.05
 #: Labelled documents a language that the model is fitted on, expected; documented bound of the fit.
 FIT_DOCS, ROUNDS = 800, 2
 #: Words kept with their scores; the table is emptied when it is full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 #: Words of a partition counted before they are handed on.
-COUNTED = 100_000
+COUNTED = 60_000
 
 
 def pieces(vocabulary: str) -> list[str]:
@@ -176,14 +176,25 @@ class Model:
 
     def __init__(self, languages: list[str], table: dict[str, tuple[float, ...]]) -> None:
         self.languages, self.table = languages, table
-        self.find = Words()
-        self.forward = Forward(table, len(languages))
+        self.find: Words | None = None
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((CACHE_WORDS, max(1, len(languages))))
 
     def __reduce__(self):
         return Model, (self.languages, self.table)
 
+    #: The one model of this process that holds tables; workers outlive a query, and so would each model's.
+    active: list[Model] = []
+
+    def ready(self) -> None:
+        if self.find is not None:
+            return
+        for other in Model.active:
+            other.find = other.forward = other.scores = None
+            other.rows = {}
+        Model.active[:] = [self]
+        self.find, self.forward = Words(), Forward(self.table, len(self.languages))
+        self.scores = np.zeros((CACHE_WORDS, max(1, len(self.languages))))
+
     def _learn(self, words: set[str]) -> None:
         """Log probabilities of new words: those of their parts, summed."""
         new = list(words)
@@ -196,6 +207,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The likeliest language of each text and its posterior under equal priors; ties go to the first language."""
+        self.ready()
         found = [self.find(t) for t in texts]
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
