@@ -42,9 +42,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparrowgrid.llm.sketch import digest
+    from sparrowgrid.llm.sketch import RUN, digest
 
-    return digest(_read(spark, sf_dir, "documents"))
+    return digest(_read(spark, sf_dir, "documents"), RUN)
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.llm.common import bucket_of, order_splits
 
-#: Words of a paragraph at most; cells of the published sketch; growth of a retry; tries; waves of peeling of a try.
-RUN, CELLS, GROWTH, TRIES, WAVES = 32, 24, 8, 9, 24
+#: Words of a paragraph at most in the registered query; cells of the published sketch; growth of a retry; tries; waves
+#: of peeling of a try.
+RUN, CELLS, GROWTH, TRIES, WAVES = 20, 24, 8, 9, 24
 #: Digests have 40 bits, so that sums of millions of equal ones fit 63.
 BITS = 40
 DIGEST, CHECK = (1 << BITS) - 1, (1 << 20) - 1
@@ -27,16 +28,16 @@ DIGEST, CHECK = (1 << BITS) - 1, (1 << 20) - 1
 ROWS = 2048
 
 
-def paragraphs(text: Column, run: int = RUN) -> Column:
+def paragraphs(text: Column, run: int) -> Column:
     """The paragraphs of a text with their trailing space, which together are the text; none of an empty one."""
     return F.regexp_extract_all(text, F.lit(rf"(?:[^ \n]+ *){{1,{run}}}\n*|[ \n]+"), F.lit(0))
 
 
-def digests(text: Column) -> Column:
-    return F.transform(paragraphs(text), lambda p: F.xxhash64(p).bitwiseAND(F.lit(DIGEST)))
+def digests(text: Column, run: int) -> Column:
+    return F.transform(paragraphs(text, run), lambda p: F.xxhash64(p).bitwiseAND(F.lit(DIGEST)))
 
 
-def edited_with_next(docs: DataFrame) -> DataFrame:
+def edited_with_next(docs: DataFrame, run: int) -> DataFrame:
     """``(doc_id, text, edited, own, following)`` where the last quarter of the code points of each text is replaced
     by as many first ones of the next document's, or all it has; after the last document comes the first. ``own`` and ``following`` are the digests of the text and of
     the next one.
@@ -54,7 +55,7 @@ def edited_with_next(docs: DataFrame) -> DataFrame:
     starting = (F.get(starts, F.col("bucket") - 1) == key) if splits else F.lit(False)
     ghost = F.when(first, F.struct(F.lit(last).alias("bucket"), F.lit(True).alias("ghost"))).when(starting, F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(True).alias("ghost")))
     places = F.filter(F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost")), ghost), lambda x: x.isNotNull())
-    dealt = own.withColumn("own", digests(F.col("text"))).withColumn("place", F.explode(places)).select("doc_id", "text", "own", "place.*")
+    dealt = own.withColumn("own", digests(F.col("text"), run)).withColumn("place", F.explode(places)).select("doc_id", "text", "own", "place.*")
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
     dealt = dealt.repartition(max(1, last + 1), "bucket")
     seen = dealt.withColumn("next", F.lead("text").over(order)).withColumn("following", F.lead("own").over(order)).filter("not ghost")
@@ -174,12 +175,13 @@ def likeness(diff: Column, one: Column, two: Column) -> Column:
     return F.when(total > 0, 1 - diff / total).otherwise(F.lit(1.0))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Every document's fingerprint, that of its edited text, and their likenesses (see ``edited_with_next``).
+def digest(docs: DataFrame, run: int = 32) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likenesses (see ``edited_with_next``), by
+    paragraphs of ``run`` words at most.
 
     An empty text has an empty fingerprint. Repeated rows stay, each with the row after it as its next document.
     """
-    texts = edited_with_next(docs)
+    texts = edited_with_next(docs, run)
 
     def measures(x: Column) -> Column:
         pair = lambda other, cells: F.when(x["own"] == other, F.lit(0).cast("bigint")).otherwise(difference(x["own"], other, (x["own0"], cells)))
@@ -190,6 +192,6 @@ def digest(docs: DataFrame) -> DataFrame:
             likeness(pair(x["following"], x["following0"]), n["own"], n["following"]).alias("near_next"),
         )
 
-    arrays = F.transform(F.array(F.struct("own", digests(F.col("edited")).alias("changed"), "following")), lambda d: F.struct(d["own"].alias("own"), d["changed"].alias("changed"), d["following"].alias("following"), *[sketch(d[c], CELLS).alias(f"{c}0") for c in ("own", "changed", "following")]))
+    arrays = F.transform(F.array(F.struct("own", digests(F.col("edited"), run).alias("changed"), "following")), lambda d: F.struct(d["own"].alias("own"), d["changed"].alias("changed"), d["following"].alias("following"), *[sketch(d[c], CELLS).alias(f"{c}0") for c in ("own", "changed", "following")]))
     rows = texts.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.transform(arrays, measures)).alias("m"))
     return rows.select("doc_id", "n_chars", "edited_sha256", "m.*")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm import sketch
+from sparrowgrid.llm.queries import op4_fingerprints
 from tests.llm.conftest import ODD
 
 
@@ -81,3 +82,11 @@ def test_peeling_grows_until_it_recovers_all(spark, n):
 def test_only_dataframe_operations(make):
     plan = sketch.digest(make(["a b", "c"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_registered_query_cuts_paragraphs_of_20_words(spark, make, tmp_path):
+    text = " ".join(f"w{k}" for k in range(100))
+    changed = text.replace("w25 ", "other ")
+    make([text, changed]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.near_next for r in op4_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {0: pytest.approx(0.8), 1: pytest.approx(0.8)}  # one of five paragraphs differs
