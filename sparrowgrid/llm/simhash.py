@@ -163,6 +163,8 @@ WORDS, PARTS, PART_BITS, RADIUS = 5, 12, 28, 2
 CHECKS, DIFFERING = 2, 24
 #: Members of a bucket that one task compares; a larger bucket is dealt to a triangle of tasks.
 MEMBERS = 4096
+#: Members of a group of candidates whose shingles one task compares; a larger group is dealt like a large bucket.
+MATCHED = 256
 #: Rows that are gathered before their buckets are compared.
 GATHER = 1 << 17
 #: Odd numbers that tell apart a shingle's words, and a hash's lanes.
@@ -191,19 +193,28 @@ class Signer:
             h = self.words[word] = xxhash.xxh64_intdigest(word, SEED)
         return h
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def shingles(self, text: str | None) -> np.ndarray:
+        """The sorted distinct hashes of a text's shingles."""
         w = text.encode().lower().split() if text else []
         if not w:
-            return np.zeros(self.lanes, np.uint64)
+            return np.zeros(0, np.uint64)
         h = np.fromiter(map(self._hash, w), np.uint64, len(w))
         n = min(self.n, len(w))
         s = np.zeros(len(w) - n + 1, np.uint64)
         for k in range(n):
             s += _scatter(h[k : len(w) - n + 1 + k] + _ODD[k]) * _ODD[k]
-        s = np.unique(s)  # a text's set of shingles
+        return np.unique(s)
+
+    def signature(self, s: np.ndarray) -> np.ndarray:
         return majority(_scatter(s[:, None] ^ _ODD[None, 32 : 32 + self.lanes]))
 
 
+def set_node(s: np.ndarray) -> int:
+    """A set of shingles as a signed 64-bit number."""
+    x = xxhash.xxh64_intdigest(s.tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, cell, node, c0, c1) sorted by key and cell: a forest of the links of each bucket's cell.
 
@@ -261,15 +272,73 @@ def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa
         yield solve(np.hstack(held))
 
 
+def exact_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets with a Jaccard similarity of 0.8 or more."""
+    out, label = [], np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    for a, x in enumerate(sets):
+        apart = (label != label[a]) & (5 * np.minimum(size, size[a]) >= 4 * np.maximum(size, size[a]))  # no others can reach 0.8
+        for b in np.flatnonzero(apart[a + 1 :]) + a + 1:
+            if label[b] != label[a]:
+                few, many = sorted((x, sets[b]), key=len)
+                at = np.searchsorted(many, few)
+                shared = int((many[np.minimum(at, len(many) - 1)] == few).sum())
+                if 5 * shared >= 4 * (size[a] + size[b] - shared):
+                    out.append((nodes[a], nodes[b]))
+                    label[label == label[b]] = label[a]
+    return out
+
+
+def confirmed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (root, cell, node, text) sorted by root and cell: the exact links inside each cell."""
+    signer, key, held = Signer(words, CHECKS), None, {}
+
+    def solve(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        got = exact_links(list(held), list(held.values()))
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in got], pa.int64()) for k in range(2)], ["u", "v"])
+
+    for b in batches:
+        for root, cell, node, text in zip(*(b.column(c).to_pylist() for c in ("root", "cell", "node", "text")), strict=True):
+            if (root, cell) != key:
+                if len(held) > 1:
+                    yield solve(held)
+                key, held = (root, cell), {}
+            if node not in held and set_node(x := signer.shingles(text)) == node:
+                held[node] = x
+    if len(held) > 1:
+        yield solve(held)
+
+
+def exact_edges(docs: DataFrame, prints: DataFrame, roots: DataFrame, words: int) -> DataFrame:
+    """``(u, v)`` edges between nodes of one group of candidates whose sets of shingles have a Jaccard similarity of
+    0.8 or more; their components are those of all such pairs in the group. A node's text comes from one of its rows.
+    """
+    grouped = prints.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
+    dk = F.coalesce("doc_id", F.lit(0).cast("bigint"))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("z"), dk.alias("dk"), F.col("th").alias("th"))).alias("row")
+    members = written(grouped.groupBy("root", "node").agg(row).select("root", "node", "row.*"), "members")
+    hot = written(members.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > MATCHED), "hot").withColumnRenamed("root", "_r")
+    groups = F.ceil(F.col("n") / MATCHED)
+    own = F.pmod(F.xxhash64("node", F.lit(3)), groups)
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), lambda t: F.least(own, t) * groups + F.greatest(own, t))
+    cell = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(cells)).alias("cell")
+    doc = F.col("doc_id").cast("bigint")
+    texts = docs.select(doc.isNull().alias("z"), F.coalesce(doc, F.lit(0).cast("bigint")).alias("dk"), _text_hash().alias("th"), "text")
+    rows = texts.join(members, ["z", "dk", "th"]).join(hot, F.col("root") == F.col("_r"), "left").select("root", cell, "node", "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "root", "cell").sortWithinPartitions("root", "cell")
+    return arrow_map(dealt, lambda batches: confirmed(batches, words), "u long, v long")
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, parts: int = PARTS, bits: int = PART_BITS, differing: int = DIFFERING) -> DataFrame:
-    """``(doc_id, th, node, root)`` of every row: rows with one root are near copies, by a similarity of about 0.8 of
-    their sets of word shingles, or linked by such.
+    """``(doc_id, th, node, root)`` of every row: rows with one root are near copies, by a Jaccard similarity of 0.8 or
+    more of their sets of word shingles, or linked by such. Every link is confirmed by the sets themselves.
 
     A signature has ``parts`` independent fingerprints of ``bits`` bits, each with the covering tables of radius
     RADIUS, so a pair that differs in at most RADIUS bits of some part meets in a bucket, and CHECKS further lanes
-    decide. With 12 parts of 28 bits, a pair of similarity 0.8 meets with probability 0.91, one of 0.9 with 0.999.
+    propose it. With 12 parts of 28 bits, a pair of similarity 0.8 meets with probability 0.91, one of 0.9 with 0.999.
     ``bits`` must grow with the logarithm of the number of documents, to keep buckets small; a bucket of more than
-    MEMBERS is dealt to several tasks, so none holds more than twice as many. Equal signatures are one node. Null and
+    MEMBERS is dealt to several tasks, so none holds more than twice as many. Equal sets are one node. Null and
     empty texts are copies of each other.
     """
     lanes = -(-parts * bits // 64) + CHECKS
@@ -278,10 +347,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, parts: int = PARTS, bits
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(words, lanes)
         for b in batches:
-            sig = np.array([signer(t) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, lanes)
+            sets = [signer.shingles(t) for t in b.column("text").to_pylist()]
+            sig = np.array([signer.signature(s) for s in sets], np.uint64).reshape(-1, lanes)
             loose = np.unpackbits(np.ascontiguousarray(sig[:, CHECKS:]).view(np.uint8), axis=1, bitorder="little")[:, : parts * bits]
             value = loose.reshape(len(sig), parts, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sig], np.uint64).view(np.int64)
+            node = np.array([set_node(s) for s in sets], np.int64)
             check = sig[:, :CHECKS].view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(node), *(pa.array(check[:, k].copy()) for k in range(CHECKS)), *(pa.array(value[:, k].copy()) for k in range(parts))], names)
 
@@ -302,7 +372,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, parts: int = PARTS, bits
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell")
     edges = arrow_map(dealt, lambda batches: candidates(batches, differing), "u long, v long")
-    roots = components(edges)
+    roots = components(exact_edges(docs, prints, components(edges), words))
     got = prints.select("doc_id", "th", "node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     return got.select("doc_id", "th", "node", F.coalesce("root", "node").alias("root"))
 

@@ -47,6 +47,32 @@ def test_near_copies_go_and_others_stay(make):
     assert fair and sum(150 + n not in kept for n in fair) >= 0.75 * len(fair)
 
 
+def pairs(seed, low, high, n=120):
+    """Texts and a changed copy of each, of a similarity from low to high."""
+    rng, out = random.Random(seed), []
+    while len(out) < 2 * n:
+        t = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(rng.choice([60, 150, 400])))
+        u = near(rng, t, max(1, round(len(t.split()) * rng.uniform(0.01, 0.06))))
+        if low <= similarity(t, u) < high:
+            out += [t, u]
+    return out
+
+
+@pytest.mark.parametrize("matched", [256, 2])
+def test_pairs_below_the_threshold_stay(make, monkeypatch, matched):
+    monkeypatch.setattr(simhash, "MATCHED", matched, raising=False)
+    rows = pairs(3, 0.7, 0.8)
+    # a chain: its ends are linked only through the middle, and a fourth text hangs on by less than 0.8
+    w = [f"word{k}" for k in range(104)]
+    cut = lambda a, b: " ".join(w[a:b])
+    chain = [cut(0, 84), cut(8, 92), cut(16, 100), cut(34, 104)]
+    assert [similarity(chain[k], chain[k + 1]) >= 0.8 for k in range(3)] == [True, True, False] and similarity(chain[0], chain[2]) < 0.8
+    kept = {r.doc_id for r in simhash.keep_one(make(rows)).collect()}
+    assert kept == set(range(len(rows)))
+    sets = [simhash.Signer(5, 2).shingles(t) for t in chain]
+    assert simhash.exact_links([0, 1, 2, 3], sets) == [(0, 1), (1, 2)]
+
+
 @pytest.mark.parametrize("members", [4096, 20])
 def test_large_group_is_one_tree(make, monkeypatch, members):
     monkeypatch.setattr(simhash, "MEMBERS", members)
