@@ -156,11 +156,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 # -- similarity joins beyond a few bits -------------------------------------------------------------
-#: Words of a shingle, parts of a signature and bits of each, radius of a part.
-WORDS, PARTS, PART_BITS, RADIUS = 5, 12, 28, 2
-#: Lanes of 64 further bits that check a candidate, and how many of them may differ: at a similarity of 0.8 one in
-#: 6.6 does, that is 19.4 of 128.
-CHECKS, DIFFERING = 2, 24
+#: Words of a shingle, bands of a signature and least hashes of each: a pair of similarity s shares a band with
+#: probability 1 - (1 - s ** 6) ** 20, that is 0.998 at 0.8, however short its texts are.
+WORDS, BANDS, LEAST = 5, 20, 6
+#: Lanes of 64 bits that check a candidate, and how many of them may differ: at a similarity of 0.8 one in 6.6 does,
+#: that is 19.4 of 128, or up to 24 of them in texts of a few shingles.
+CHECKS, DIFFERING = 2, 36
 #: Members of a bucket that one task compares; a larger bucket is dealt to a triangle of tasks.
 MEMBERS = 4096
 #: Members of a group of candidates whose shingles one task compares; a larger group is dealt like a large bucket.
@@ -184,7 +185,7 @@ class Signer:
     CACHE = 200_000
 
     def __init__(self, words: int, lanes: int) -> None:
-        self.n, self.lanes, self.words = words, lanes, {}
+        self.n, self.lanes, self.words, self.seeds = words, lanes, {}, None
 
     def _hash(self, word: bytes) -> int:
         if (h := self.words.get(word)) is None:
@@ -205,6 +206,24 @@ class Signer:
             s += _scatter(h[k : len(w) - n + 1 + k] + _ODD[k]) * _ODD[k]
         return np.unique(s)
 
+    def bands(self, s: np.ndarray, bands: int) -> np.ndarray:
+        """A number a band, of the least of LEAST hashes over the shingles."""
+        if not len(s):
+            return np.zeros(bands, np.int64)
+        if self.seeds is None or len(self.seeds) != bands * LEAST:
+            self.seeds = np.random.default_rng(6).integers(0, 1 << 63, bands * LEAST, np.uint64)
+        least = np.full(bands * LEAST, ~np.uint64(0))
+        for k in range(0, len(s), 512):
+            x = s[k : k + 512, None] ^ self.seeds
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+            least = np.minimum(least, x.min(0))
+        least, key = least.reshape(bands, LEAST), np.arange(bands, dtype=np.uint64)
+        for k in range(LEAST):
+            key = _scatter(key * _ODD[k] + least[:, k])
+        return key.view(np.int64)
+
     def signature(self, s: np.ndarray) -> np.ndarray:
         return majority(_scatter(s[:, None] ^ _ODD[None, 32 : 32 + self.lanes]))
 
@@ -330,37 +349,31 @@ def exact_edges(docs: DataFrame, prints: DataFrame, roots: DataFrame, words: int
     return arrow_map(dealt, lambda batches: confirmed(batches, words), "u long, v long")
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, parts: int = PARTS, bits: int = PART_BITS, differing: int = DIFFERING) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, differing: int = DIFFERING) -> DataFrame:
     """``(doc_id, th, node, root)`` of every row: rows with one root are near copies, by a Jaccard similarity of 0.8 or
     more of their sets of word shingles, or linked by such. Every link is confirmed by the sets themselves.
 
-    A signature has ``parts`` independent fingerprints of ``bits`` bits, each with the covering tables of radius
-    RADIUS, so a pair that differs in at most RADIUS bits of some part meets in a bucket, and CHECKS further lanes
-    propose it. With 12 parts of 28 bits, a pair of similarity 0.8 meets with probability 0.91, one of 0.9 with 0.999.
-    ``bits`` must grow with the logarithm of the number of documents, to keep buckets small; a bucket of more than
-    MEMBERS is dealt to several tasks, so none holds more than twice as many. Equal sets are one node. Null and
-    empty texts are copies of each other.
+    A signature has ``bands`` keys of LEAST least hashes each. Pairs that share a key meet in a bucket, and CHECKS lanes
+    propose those that differ in at most ``differing`` bits: a pair of similarity 0.8 with probability 0.99 or more.
+    A bucket of more than MEMBERS is dealt to several tasks, so none holds more than twice as many. Equal sets are
+    one node. Null and empty texts are copies of each other.
     """
-    lanes = -(-parts * bits // 64) + CHECKS
-    names = ["doc_id", "th", "node", "c0", "c1", *[f"p{k}" for k in range(parts)]]
+    names = ["doc_id", "th", "node", "c0", "c1", *[f"p{k}" for k in range(bands)]]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(words, lanes)
+        signer = Signer(words, CHECKS)
         for b in batches:
             sets = [signer.shingles(t) for t in b.column("text").to_pylist()]
-            sig = np.array([signer.signature(s) for s in sets], np.uint64).reshape(-1, lanes)
-            loose = np.unpackbits(np.ascontiguousarray(sig[:, CHECKS:]).view(np.uint8), axis=1, bitorder="little")[:, : parts * bits]
-            value = loose.reshape(len(sig), parts, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+            check = np.array([signer.signature(s) for s in sets], np.uint64).reshape(-1, CHECKS).view(np.int64)
+            value = np.array([signer.bands(s, bands) for s in sets], np.int64).reshape(-1, bands)
             node = np.array([set_node(s) for s in sets], np.int64)
-            check = sig[:, :CHECKS].view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(node), *(pa.array(check[:, k].copy()) for k in range(CHECKS)), *(pa.array(value[:, k].copy()) for k in range(parts))], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(node), *(pa.array(check[:, k].copy()) for k in range(CHECKS)), *(pa.array(value[:, k].copy()) for k in range(bands))], names)
 
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("th"), "text")
     schema = "doc_id long, th int, " + ", ".join(f"{n} long" for n in names[2:])
     prints = written(arrow_map(keyed, sign, schema), "signatures")
     nodes = prints.groupBy("node").agg(*[F.first(n).alias(n) for n in names[3:]])
-    cover = masks(bits, RADIUS)
-    tables = [F.lit((k * len(cover) + t) << 56 >> 8 if False else k * len(cover) + t).cast("bigint") * F.lit(1 << bits) + F.col(f"p{k}").bitwiseAND(F.lit(m)) for k in range(parts) for t, m in enumerate(cover)]
+    tables = [F.col(f"p{k}") for k in range(bands)]
     rows = nodes.select(F.explode(F.array(*tables)).alias("key"), "node", "c0", "c1")
     hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS), "hot").withColumnRenamed("key", "_k")
     # a bucket of g groups of MEMBERS has a task for each two groups: a member of group s goes to those of s and any t

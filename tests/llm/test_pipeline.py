@@ -58,6 +58,12 @@ def pairs(seed, low, high, n=120):
     return out
 
 
+def test_pairs_just_above_the_threshold_go(make):
+    rows = pairs(5, 0.8, 0.84, 200)
+    kept = {r.doc_id for r in simhash.keep_one(make(rows)).collect()}
+    assert set(range(0, 400, 2)) <= kept and len(kept) <= 200 + 0.01 * 200
+
+
 @pytest.mark.parametrize("matched", [256, 2])
 def test_pairs_below_the_threshold_stay(make, monkeypatch, matched):
     monkeypatch.setattr(simhash, "MATCHED", matched, raising=False)
