@@ -61,6 +61,14 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "C8",
         """select x.j as j, y.k as k, sum(x.v * y.v) as v from D x join K y on x.f = y.f where x.j < 100 group by x.j, y.k""",
     ),
+    "q_self_spgemm_whole": (
+        "A14",
+        """select x.k as k1, y.k as k2, sum(x.v * y.v) as v from B x join B y on x.j = y.j group by x.k, y.k""",
+    ),
+    "q_matmul_dense_whole": (
+        "C8",
+        """select x.j as j, y.k as k, sum(x.v * y.v) as v from D x join K y on x.f = y.f group by x.j, y.k""",
+    ),
     "q_hadamard": (
         "C9",
         """select p.i as i, p.j as j, p.v * q.v as v from P p join Q q on p.i = q.i and p.j = q.j""",

@@ -155,6 +155,14 @@ def _matmul_dense(x: Tables) -> DataFrame:
     return einsum("jf,kf->jk", d.with_df(d.df.filter("j < 100")), x.k, dims=("j", "k")).df
 
 
+def _self_spgemm_whole(x: Tables) -> DataFrame:
+    return einsum("jk,jl->kl", x.b, x.b, dims=("k1", "k2")).df
+
+
+def _matmul_dense_whole(x: Tables) -> DataFrame:
+    return einsum("jf,kf->jk", x.d, x.k, dims=("j", "k")).df
+
+
 def _csr_pos(x: Tables) -> DataFrame:
     return convert.csr_pointers(convert.transpose(x.b), x.nodes)
 
@@ -256,6 +264,8 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "q_self_spgemm": _self_spgemm,
     "q_sddmm": lambda x: sddmm(x.b, x.d, x.k).df,
     "q_matmul_dense": _matmul_dense,
+    "q_self_spgemm_whole": _self_spgemm_whole,
+    "q_matmul_dense_whole": _matmul_dense_whole,
     "q_hadamard": lambda x: hadamard(x.p, x.q).df,
     "q_hadamard3": lambda x: hadamard(x.t, x.t).df,
     "q_hadamard4": _hadamard4,

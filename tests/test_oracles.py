@@ -23,5 +23,13 @@ def test_matches(spark, connection, sf_dir, name):
     assert compare(spark, connection, catalogue.queries()[name], oracles.oracle_sql()[name], sf_dir) == ""
 
 
+def test_whole_products_use_every_part(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert catalogue.queries()["q_matmul_dense_whole"](spark, sf_dir).select("j").distinct().count() == parts
+    total = lambda name: catalogue.queries()[name](spark, sf_dir).agg({"v": "sum"}).first()[0]
+    squares = catalogue.queries()["q_coalesce"](spark, sf_dir).groupBy("j").agg({"v": "sum"}).selectExpr("sum(`sum(v)` * `sum(v)`)").first()[0]
+    assert total("q_self_spgemm_whole") == squares
+
+
 def test_every_query_has_an_oracle():
     assert set(catalogue.queries()) == set(oracles.oracle_sql())
