@@ -263,6 +263,7 @@ r as (select token, row_number() over (order by n desc, token) + 1 as id, row_nu
 e as (select w.doc_id, w.pos, coalesce(case when r.rn <= 1000 then r.id end, 0) as id from w left join r on r.token = w.token where w.pos <= 8),
 l as (select doc_id, list(id order by pos) as ids from e group by doc_id)
 select doc_id, array_to_string(list_concat(ids, list_transform(range(8 - len(ids)), lambda x: 1)), ',') as ids from l"""
+EXTRA["q_encode_whole"] = EXTRA["q_encode"].replace("w.pos <= 8)", "w.pos <= 8192)").replace("range(8 - len(ids))", "range(8192 - len(ids))")
 #: Other ways to the same result.
 SAME = {"q_transposed_rhs": "q_spmm", "q_spmm_long": "q_spmm", "q_matmul_vector": "q_spmv"}
 

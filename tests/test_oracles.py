@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowgrid import oracles
 from sparrowgrid import queries as catalogue
@@ -31,5 +32,12 @@ def test_whole_products_use_every_part(spark, sf_dir):
     assert total("q_self_spgemm_whole") == squares
 
 
+def test_whole_encoding_keeps_every_token(spark, sf_dir):
+    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0)))
+    want = {r.doc_id: min(r.n, 8192) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", words.alias("n")).collect() if r.n}
+    got = {r.doc_id: sum(i != "1" for i in r.ids.split(",")) for r in catalogue.queries()["q_encode_whole"](spark, sf_dir).collect()}
+    assert got == want
+
+
 def test_every_query_has_an_oracle():
     assert set(catalogue.queries()) == set(oracles.oracle_sql())
