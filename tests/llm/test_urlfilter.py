@@ -42,6 +42,30 @@ def test_judgements(spark, entries, url, day, want):
     assert [(r.matches, r.blocked, r.rule_list) for r in got] == [want] * 2
 
 
+def test_deep_patterns(spark):
+    host, way = ".".join("abcdefghijklmnopqrst") + ".org", "/".join(map(str, range(1, 15)))
+    labels = host.split(".")
+    cases = [(f"x.com/{'/'.join(map(str, range(1, n + 1)))}", 1, f"http://x.com/{way}") for n in (1, 5, 12)] + [(".".join(labels[-n:]), 1, f"http://{host}/") for n in (2, 9, 20, 21)]
+    cases += [("x.com/1/2/3/4/5/6", 0, "http://x.com/1/2/3/4/5/7"), ("org", 0, f"http://{host}/"), (f"z.{host}", 0, f"http://{host}/")]
+    for pattern, n, url in cases:
+        e = spark.createDataFrame([("own", "block", pattern, "add", "2024-01-01")], "list string, verdict string, pattern string, action string, entry_date string")
+        c = spark.createDataFrame([(1, url, "2024-01-02")], "page_id long, url string, fetch_date string")
+        assert [r.matches for r in u.judge(c, e).collect()] == [n], pattern
+
+
+def test_query_meets_deep_entries(spark, sf_dir):
+    got = queries()["op10_url_filter"](spark, sf_dir).filter("mirror").collect()
+    rules = [r.rule_pattern or "" for r in got]
+    assert max(x.count("/") for x in rules) == 11 and max(len(x.split(".")) for x in rules if "/" not in x) >= 9
+
+
+def test_pages_without_urls(spark):
+    pages = spark.createDataFrame([(1, None, "a"), (2, "/x", "b"), (2, "/x", "b"), (None, "http://a.b/en", "c")], "page_id long, url string, host string")
+    got = u.digest(pages).collect()
+    assert len(got) == 8 and all(r.matches == 0 for r in got if r.page_id)
+    assert u.digest(pages.limit(0)).count() == 0
+
+
 def test_empty_tables(spark, entries):
     caps = spark.createDataFrame([(1, "http://example.com", "2024-01-03")], "page_id long, url string, fetch_date string")
     assert u.judge(caps.limit(0), entries).count() == 0
