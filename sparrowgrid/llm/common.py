@@ -20,11 +20,15 @@ BUCKET_ROWS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of this machine, but only for a local
+    master, as in tests; a cluster's executors wouldn't see it, so there it raises."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='sparrowgrid-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = getattr(sc, "_sparrowgrid_dir", None) or f"file://{tempfile.mkdtemp(prefix='sparrowgrid-')}"
+        sc._sparrowgrid_dir = found
     return found.rstrip("/")
 
 
@@ -36,10 +40,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
+    remove_at_exit(df.sparkSession, path)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver's file system delete a folder of the shared one when the application ends."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).deleteOnExit(at)
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two numbers of 60 bits each from a text's SHA-256 (null: as empty), without nulls."""
+    h = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return tuple(F.conv(F.substring(h, at, 15), 16, 10).cast("bigint") for at in (1, 17))
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished steps: Spark removes them once the driver's garbage is collected."""
     gc.collect()

@@ -57,7 +57,7 @@ def test_parts_of_long_texts_have_all_strings(monkeypatch):
     data = np.frombuffer("".join(rng.choices("abcd", k=5000)).encode(), np.uint8)
     for part in (300, 1000, 1 << 20):
         monkeypatch.setattr(repeats, "PART", part)
-        place, _, _, first, last = repeats.anchors(data)
+        place, _, first, last = repeats.anchors(data)
         owned = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
         assert sorted(owned.tolist()) == list(range(5000 - 199))
         assert ((place >= first) & (place >= last) & (place + repeats.KGRAM <= first + 200)).all()
@@ -67,7 +67,7 @@ def test_suffix_sort_and_common_extensions():
     rng = random.Random(2)
     text = "".join(rng.choices("ab", k=400)) + "ab" * 200 + "".join(rng.choices("ab", k=100))
     data = np.frombuffer(text.encode(), np.uint8)
-    s = repeats.prefix_hashes(data)
+    s = repeats.PrefixHashes(data, 123456789)
     starts = np.array(rng.sample(range(len(text) - 60), 500))
     for buckets in (1, 7, 500):
         bucket = np.sort(np.array([rng.randrange(buckets) for _ in starts]))
@@ -80,11 +80,51 @@ def test_suffix_sort_and_common_extensions():
         assert text[a : a + k] == text[b : b + k] and (k == 60 or text[a + k] != text[b + k])
 
 
-def test_a_wrong_hash_is_caught(monkeypatch):
-    data = np.frombuffer(b"abcdefgh" * 10, np.uint8)
-    monkeypatch.setattr(repeats, "string_hash", lambda s, a, b: np.zeros(len(a), np.uint64))
-    with pytest.raises(ArithmeticError):
-        repeats.repeated_strings(data, np.array([0, 1]), np.array([0, 0]), 8)
+def test_strings_of_one_hash_are_split(monkeypatch):
+    data = np.frombuffer(b"abcdefgh" * 10 + b"once only", np.uint8)
+    monkeypatch.setattr(repeats.PrefixHashes, "of", lambda self, a, b: np.zeros(len(a), np.uint64))
+    starts = np.array([0, 80, 1, 8, 2, 17, 81])
+    got = repeats.repeated_strings(data, starts, np.zeros(7, np.int64), 8, 5)
+    assert got.tolist() == [True, False, True, True, False, True, False]
+
+
+def test_prefix_hashes_are_polynomials_modulo_a_prime():
+    data = np.random.default_rng(3).integers(0, 256, 3000).astype(np.uint8)
+    base = repeats.draw().base
+    s, want = repeats.PrefixHashes(data, base), 0
+    for k in range(3000):
+        want = (want + (int(data[k]) + 1) * pow(base, k, repeats.PRIME)) % repeats.PRIME
+        assert int(s.sums[k + 1]) == want
+    a, b = np.array([0, 7, 2990]), np.array([3000, 1007, 3000])
+    got = s.of(a, b)
+    for x, y, h in zip(a, b, got, strict=True):
+        assert int(h) == sum((int(data[k]) + 1) * pow(base, int(k - x), repeats.PRIME) for k in range(x, y)) % repeats.PRIME
+
+
+def thue_morse_pair():
+    """Two texts whose polynomial hashes modulo 2^64 agree for many bases (given as a case to hold)."""
+    pairs = [(50, 122), (39, 122), (119, 113), (60, 34)]
+    tail = "bsodabdgsmhtxlajmbqecksgzkxqvggypouzcmopmzjjfspudgzjjjhdjhuhduxziaqqzrfh"
+    block = lambda a, b: "".join(chr(b if k.bit_count() & 1 else a) for k in range(32))
+    return "".join(block(a, b) for a, b in pairs) + tail, "".join(block(b, a) for a, b in pairs) + tail
+
+
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_texts_of_one_polynomial_hash_stay(make, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    one, two = thue_morse_pair()
+    assert len(one) == len(two) == 200 and one != two
+    assert [r.n_removed for r in repeats.digest(make([one, two])).collect()] == [0, 0]
+    got = {r.doc_id: r.n_removed for r in repeats.digest(make([one, two, "x" + one])).collect()}
+    assert got == {0: 200, 1: 0, 2: 200}
+
+
+def test_many_rows_without_an_id(make):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcd", k=260)) for _ in range(60)]
+    texts += [texts[0][:230], None, ""]
+    want = sorted((n, r) for n, r, _, _ in brute(texts).values())
+    assert sorted((r.n_bytes, r.n_removed) for r in repeats.digest(make(texts, ids=[None] * 63)).collect()) == want
 
 
 def test_repeated_rows_null_ids_and_empty_table(make):
