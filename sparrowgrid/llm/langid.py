@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,20 +24,22 @@ from sparrowgrid.llm.common import arrow_map, ship, written
 
 UNKNOWN = "und"
 START = "▁"
-#: Letters of a piece at most, start mark included; a word's longer runs are scored in parts of PART letters.
-PIECE, PART = 9, 48
+#: Letters of words that are scored whole in one matrix; longer ones are run through in steps of STEP letters.
+WIDE, STEP = 24, 4096
 #: Probability mass of a letter that is no piece, and what is added to every piece's count.
 LETTER, SMOOTH = 1e-7, 0.05
 #: Labelled documents a language that the model is fitted on, expected; documented bound of the fit.
 FIT_DOCS, ROUNDS = 800, 2
-#: Words kept with their scores; the table is emptied when it is full.
-CACHE_WORDS = 120_000
+#: Words kept with their scores, and numbers of these at most; the table is emptied when it is full.
+CACHE_WORDS, CACHE_NUMBERS = 120_000, 2_000_000
+#: Numbers of one matrix of the forward algorithm, about.
+MATRIX = 2_000_000
 #: Words of a partition counted before they are handed on.
 COUNTED = 60_000
 
 
 def pieces(vocabulary: str) -> list[str]:
-    """The vocabulary's pieces of letters, in lower case, each once, in order."""
+    """The vocabulary's pieces of letters, of any length, in lower case, each once, in order."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
@@ -44,7 +47,7 @@ def pieces(vocabulary: str) -> list[str]:
     for k in range(sp.get_piece_size()):
         p = sp.id_to_piece(k).lower()
         body = p.removeprefix(START)
-        if body.isalpha() and len(p) <= PIECE or p == START:
+        if body.isalpha() or p == START:
             out.setdefault(p)
     return list(out)
 
@@ -60,38 +63,43 @@ class Words:
         return self.plane(low) if in_one_plane(low) else self.all(low)
 
 
-def parts(word: str) -> list[str]:
-    marked = START + word
-    return [marked[k : k + PART] for k in range(0, len(marked), PART)]
+def reach(table: dict) -> int:
+    """Letters of the longest piece."""
+    return max(map(len, table), default=1)
 
 
 def forward(s: str, table: dict[str, tuple[float, ...]], n: int) -> list[float]:
-    """The probability of ``s`` in each of n languages: alpha[t] = sum of alpha[t - k] * p(the k letters before t)."""
-    size = len(s)
-    alpha = [[1.0] * n] + [[0.0] * n for _ in range(size)]
-    get, languages = table.get, range(n)
-    for t in range(size):
-        a = alpha[t]
-        for e in range(t + 1, min(size, t + PIECE) + 1):
-            p = get(s[t:e])
-            if p is not None:
-                b = alpha[e]
-                for x in languages:
-                    b[x] += a[x] * p[x]
-            elif e == t + 1:
-                b = alpha[e]
-                for x in languages:
-                    b[x] += a[x] * LETTER
-    return alpha[size]
-
-
-def expected(s: str, table: dict[str, float], weight: float, out: Counter) -> None:
-    """Adds ``weight`` times the expected count of each piece of ``s`` under one language's probabilities."""
-    size, get = len(s), table.get
+    """The log probability of ``s`` in each of n languages, one at a time: alpha[t] is the sum of alpha[t - k] * p(the k
+    letters before t), kept as a log."""
+    size, get, far = len(s), table.get, reach(table)
+    out = []
+    for x in range(n):
+        alpha = [0.0]
+        for e in range(1, size + 1):
+            arcs = [(alpha[t], get(s[t:e])) for t in range(max(0, e - far), e)]
+            terms = [a + math.log(LETTER if p is None else p[x]) for k, (a, p) in enumerate(reversed(arcs)) if p is not None or not k]
+            alpha.append(_log_sum(terms))
+        out.append(alpha[size])
+    return out
+
+
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum([math.exp(x - top) for x in terms]))
+
+
+def expected(s: str, table: dict[str, float], weight: float, out: Counter, far: int | None = None) -> None:
+    """Adds ``weight`` times the expected count of each piece of ``s`` under one language's probabilities.
+
+    Words of more than WIDE letters are summed in logs, with two numbers a letter in memory, so none underflows.
+    """
+    size, get, far = len(s), table.get, far or reach(table)
+    if size > WIDE:
+        return _expected_long(s, table, weight, out, far)
     arcs: list[tuple[int, int, str, float]] = []
     alpha = [1.0] + [0.0] * size
     for t in range(size):
-        for e in range(t + 1, min(size, t + PIECE) + 1):
+        for e in range(t + 1, min(size, t + far) + 1):
             p = get(s[t:e])
             if p is None:
                 if e > t + 1:
@@ -108,6 +116,26 @@ def expected(s: str, table: dict[str, float], weight: float, out: Counter) -> No
             out[piece] += alpha[t] * p * beta[e] * scale
 
 
+def _expected_long(s: str, table: dict[str, float], weight: float, out: Counter, far: int) -> None:
+    size, get, log = len(s), table.get, math.log
+
+    def arcs(t: int) -> list[tuple[int, str, float]]:
+        """The pieces that start at t: their ends and log probabilities."""
+        found = [(e, s[t:e], log(p)) for e in range(t + 1, min(size, t + far) + 1) if (p := get(s[t:e]))]
+        return found if found and found[0][0] == t + 1 else [(t + 1, s[t], log(LETTER)), *found]
+
+    beta = array("d", bytes(8 * (size + 1)))
+    for t in range(size - 1, -1, -1):
+        beta[t] = _log_sum([p + beta[e] for e, _, p in arcs(t)])
+    ahead: dict[int, list[float]] = {0: [0.0]}  # what has come to places not yet reached
+    for t in range(size):
+        alpha = _log_sum(ahead.pop(t))
+        for e, piece, p in arcs(t):
+            ahead.setdefault(e, []).append(alpha + p)
+            if piece in table:
+                out[piece] += weight * math.exp(alpha + p + beta[e] - beta[0])
+
+
 class Forward:
     """``forward`` of many words at once, in matrices of words by places, for pieces found by their hashes."""
 
@@ -116,6 +144,7 @@ class Forward:
 
     def __init__(self, table: dict[str, tuple[float, ...]], n: int) -> None:
         names = list(table)
+        self.n, self.reach = n, reach(table)
         hashes = np.zeros(len(names), np.uint64)
         for size in {len(p) for p in names}:
             which = [k for k, p in enumerate(names) if len(p) == size]
@@ -125,50 +154,94 @@ class Forward:
                 h = (h + codes[:, t] + np.uint64(1)) * self.BASE
             hashes[which] = h
         order = np.argsort(hashes)
-        self.hashes = np.append(hashes[order], np.zeros(8, np.uint64))
-        self.found = np.append(order, np.full(8, len(names)))
+        slots = (hashes[order] >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        self.depth = int(np.bincount(slots, minlength=1).max()) if names else 0
+        self.hashes = np.append(hashes[order], np.zeros(self.depth, np.uint64))
+        self.found = np.append(order, np.full(self.depth, len(names)))
         self.p = np.zeros((len(names) + 2, n))  # then nothing, and a letter that is no piece
-        self.p[: len(names)] = [table[x] for x in names]
+        if names:
+            self.p[: len(names)] = [table[x] for x in names]
         self.p[-1] = LETTER
-        slots = (hashes[order] >> np.uint64(64 - self.SLOTS)).astype(np.int64)
         self.first = np.searchsorted(slots, np.arange(1 << self.SLOTS)).astype(np.int32)
-        self.depth = min(8, int(np.bincount(slots, minlength=1).max())) if len(names) else 0
 
     def logs(self, words: list[str]) -> np.ndarray:
-        """(words, languages): log probabilities of words of at most PART letters."""
-        out = np.zeros((len(words), self.p.shape[1]))
+        """(words, languages): log probabilities of words."""
+        out = np.zeros((len(words), self.n))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         low = 0
-        for width in (5, 8, 11, 15, 24, PART):
+        for width in (5, 8, 11, 15, WIDE):
             which = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            for k in range(0, len(which), 1 << 13):
-                part = which[k : k + (1 << 13)]
+            rows = min(1 << 13, max(16, MATRIX // ((width + 1) * self.n)))
+            for k in range(0, len(which), rows):
+                part = which[k : k + rows]
                 out[part] = self._block([words[x] for x in part.tolist()], sizes[part], width)
+        long = np.flatnonzero(sizes > WIDE)
+        long = long[np.argsort(sizes[long], kind="stable")]  # words of like lengths together
+        rows = max(1, MATRIX // (STEP * self.reach))
+        for k in range(0, len(long), rows):
+            out[long[k : k + rows]] = self._stream([words[x] for x in long[k : k + rows].tolist()])
         return out
 
-    def _block(self, words: list[str], sizes: np.ndarray, width: int) -> np.ndarray:
-        codes = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width).astype(np.uint64)
-        none, letter = len(self.p) - 2, len(self.p) - 1
-        alpha = np.zeros((width + 1, len(words), self.p.shape[1]))
-        alpha[0] = 1.0
+    def _arcs(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each size from 1, the piece that starts at each place of each row, or nothing's number."""
+        none, width = len(self.p) - 2, codes.shape[1]
         h = np.zeros_like(codes)
         arcs = []
-        for size in range(1, min(PIECE, width) + 1):
-            n = width - size + 1
-            h = (h[:, :n] + codes[:, size - 1 :] + np.uint64(1)) * self.BASE
+        for size in range(1, min(self.reach, width) + 1):
+            h = (h[:, : width - size + 1] + codes[:, size - 1 :] + np.uint64(1)) * self.BASE
             at = self.first[(h >> np.uint64(64 - self.SLOTS)).astype(np.int64)]
             got = np.full(h.shape, none)
             for step in range(self.depth):
                 got = np.where(self.hashes[at + step] == h, self.found[at + step], got)
             if size == 1:
-                got[got == none] = letter
+                got[got == none] = none + 1
             arcs.append(got)
+        return arcs
+
+    def _block(self, words: list[str], sizes: np.ndarray, width: int) -> np.ndarray:
+        """Words of at most WIDE letters: none of their probabilities underflows."""
+        codes = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width).astype(np.uint64)
+        alpha = np.zeros((width + 1, len(words), self.n))
+        alpha[0] = 1.0
+        arcs = self._arcs(codes)
         for e in range(1, width + 1):
-            for size in range(1, min(PIECE, e) + 1):
+            for size in range(1, min(self.reach, e) + 1):
                 piece = arcs[size - 1][:, e - size]
                 alpha[e] += alpha[e - size] * self.p[piece]
-        return np.log(np.maximum(alpha[sizes, np.arange(len(words))], 1e-300))
+        return np.log(alpha[sizes, np.arange(len(words))])
+
+    def _stream(self, words: list[str]) -> np.ndarray:
+        """Words of any length, STEP letters at a time: the last ``reach`` columns of alpha stay, scaled to 1 at most
+        after each step of WIDE letters, and the scale's log is kept. ``words`` are in order of their lengths."""
+        sizes = np.array(list(map(len, words)))
+        alpha = np.zeros((self.reach, len(words), self.n))  # the oldest first
+        alpha[-1] = 1.0
+        scale, out, done = np.zeros((len(words), self.n)), np.zeros((len(words), self.n)), 0
+        for start in range(0, int(sizes[-1]), STEP):
+            done = int(np.searchsorted(sizes, start, "right"))  # words that ended before
+            begin = max(0, start - self.reach + 1)  # pieces that end in this step start here at the earliest
+            width = start + STEP - begin
+            codes = np.frombuffer("".join([w[begin : start + STEP].ljust(width, "\0") for w in words[done:]]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width).astype(np.uint64)
+            arcs = self._arcs(codes)
+            live, size = alpha[:, done:], sizes[done:]
+            for e in range(start + 1, min(start + STEP, int(sizes[-1])) + 1):
+                new = np.zeros(live.shape[1:])
+                for k in range(1, min(self.reach, e) + 1):
+                    piece = arcs[k - 1][:, e - k - begin]
+                    if (piece != len(self.p) - 2).any():
+                        new += live[-k] * self.p[piece]
+                live = np.concatenate([live[1:], new[None]])
+                ending = np.flatnonzero(size == e) + done
+                if len(ending):
+                    out[ending] = np.log(new[ending - done]) + scale[ending]
+                if e % WIDE == 0:
+                    top = live.max(0)
+                    top[top == 0] = 1.0  # of words that have ended
+                    live /= top
+                    scale[done:] += np.log(top)
+            alpha = np.concatenate([np.zeros((self.reach, done, self.n)), live], 1)
+        return out
 
 
 class Model:
@@ -192,17 +265,15 @@ class Model:
             other.find = other.forward = other.scores = None
             other.rows = {}
         Model.active[:] = [self]
+        n = max(1, len(self.languages))
+        self.room = max(1024, min(CACHE_WORDS, CACHE_NUMBERS // n))
         self.find, self.forward = Words(), Forward(self.table, len(self.languages))
-        self.scores = np.zeros((CACHE_WORDS, max(1, len(self.languages))))
+        self.scores = np.zeros((self.room, n))
 
     def _learn(self, words: set[str]) -> None:
-        """Log probabilities of new words: those of their parts, summed."""
-        new = list(words)
-        cut = [parts(w) for w in new]
-        logs = self.forward.logs([x for c in cut for x in c])
-        sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]]).astype(np.int64), axis=0)
-        at = len(self.rows)
-        self.scores[at : at + len(new)] = sums
+        """Log probabilities of new words."""
+        new, at = list(words), len(self.rows)
+        self.scores[at : at + len(new)] = self.forward.logs([START + w for w in new])
         self.rows.update(zip(new, range(at, at + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -212,12 +283,12 @@ class Model:
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
         total = np.zeros((len(texts), len(self.languages)))
-        # parts of the batch with at most half of CACHE_WORDS words, so that the table always has room for them
+        # parts of the batch with at most half of the table's words, so that it always has room for them
         groups, group, size = [], [], 0
         for k, words in enumerate(found):
-            for j in range(0, len(words), CACHE_WORDS // 4):
-                piece = words[j : j + CACHE_WORDS // 4]
-                if size + len(piece) > CACHE_WORDS // 2:
+            for j in range(0, len(words), self.room // 4):
+                piece = words[j : j + self.room // 4]
+                if size + len(piece) > self.room // 2:
                     groups.append(group)
                     group, size = [], 0
                 group.append((k, piece))
@@ -227,7 +298,7 @@ class Model:
                 continue
             words = set().union(*(w for _, w in group))
             new = words - self.rows.keys()
-            if len(self.rows) + len(new) > CACHE_WORDS:
+            if len(self.rows) + len(new) > self.room:
                 self.rows.clear()
                 new = words
             if new:
@@ -290,12 +361,12 @@ def fit(labelled: DataFrame, vocabulary: str, docs: int = FIT_DOCS, rounds: int
 
         def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             own = [{p: x[k] for p, x in now.items()} for k in range(len(languages))]
+            number, far = {x: k for k, x in enumerate(languages)}, reach(now)
             got = [Counter() for _ in languages]
             for b in batches:
                 for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                    k = languages.index(lang)
-                    for s in parts(word):
-                        expected(s, own[k], n, got[k])
+                    k = number[lang]
+                    expected(START + word, own[k], n, got[k], far)
             rows = [(languages[k], p, c) for k, g in enumerate(got) for p, c in g.items()]
             cols = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()), strict=True)], ["lang", "piece", "c"])
@@ -321,14 +392,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Fits on the rows that aren't held out and predicts all."""
+    """``(doc_id, held_out, lang_pred, score)`` of every row, by a model fitted on the rows that aren't held out.
+
+    Rows without a label or a text aren't learned from. A null text or one without a letter is ``und`` with score 0, as
+    is every row where there is no label at all. Rows without a doc_id aren't held out. Repeated rows stay, and count
+    each in the fit; an empty table gives no rows; other columns are ignored. Words of any length are scored whole.
+    """
     model = fit(docs.filter(~held_out(F.col("doc_id"))), vocabulary)
     got = predict(docs, model)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language isn't identified: ``und``, or a posterior below ``least``."""
+    """``docs`` without the rows whose language isn't identified: ``und``, or a posterior below ``least``. A row without
+    a ``lang`` gets the one found; a given one stays."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))), vocabulary)
     sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
@@ -336,6 +413,8 @@ def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> Dat
         m = sent.value
         for b in batches:
             got = m.predict(b.column("text").to_pylist())
-            yield b.filter(pa.array([x != UNKNOWN and y >= least for x, y in got], pa.bool_())).select(names)
+            lang = pa.array([old if old is not None else x for old, (x, _) in zip(b.column("lang").to_pylist(), got, strict=True)], b.column("lang").type)
+            named = pa.RecordBatch.from_arrays([lang if c == "lang" else b.column(c) for c in names], names)
+            yield named.filter(pa.array([x != UNKNOWN and y >= least for x, y in got], pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

@@ -31,7 +31,7 @@ def test_forward_sums_all_segmentations():
     for s in ("▁abcab", "abab", "▁", "zz", "▁bcabca"):
         got = langid.forward(s, table, 2)
         for k in range(2):
-            assert math.isclose(got[k], sum(math.prod(p_of(x, table, k) for x in seg) for seg in segmentations(s)))
+            assert math.isclose(math.exp(got[k]), sum(math.prod(p_of(x, table, k) for x in seg) for seg in segmentations(s)))
 
 
 def test_forward_in_matrices_is_the_same():
@@ -39,10 +39,13 @@ def test_forward_in_matrices_is_the_same():
 
     rng = random.Random(1)
     table = {"".join(rng.choices("abcé▁", k=rng.randint(1, 9))): (rng.random(), rng.random(), rng.random()) for _ in range(400)}
-    words = ["".join(rng.choices("abcéx▁\U0001f600", k=rng.randint(1, langid.PART))) for _ in range(300)]
-    got = langid.Forward(table, 3).logs(words)
-    for w, row in zip(words, got, strict=True):
-        assert all(math.isclose(x, math.log(max(y, 1e-300)), rel_tol=1e-9) for x, y in zip(row, langid.forward(w, table, 3), strict=True))
+    words = ["".join(rng.choices("abcéx▁\U0001f600", k=rng.choice([rng.randint(1, 48), rng.randint(49, 300)]))) for _ in range(300)]
+    for step in (4096, 32):
+        langid.STEP, old = step, langid.STEP
+        got = langid.Forward(table, 3).logs(words)
+        langid.STEP = old
+        for w, row in zip(words, got, strict=True):
+            assert all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(row, langid.forward(w, table, 3), strict=True))
 
 
 def test_expected_counts():
@@ -60,6 +63,33 @@ def test_expected_counts():
         assert math.isclose(out[x], 2.0 * want[x] / total, abs_tol=1e-12)
 
 
+def test_expected_counts_of_long_words_are_the_same(monkeypatch):
+    from collections import Counter
+
+    table = {"a": 0.1, "ab": 0.3, "bab": 0.15, "c": 0.01}
+    for word in ("abxbabcab", "x" * 12, "babbabaab"):
+        short, long = Counter(), Counter()
+        langid.expected(word, table, 3.0, short)
+        monkeypatch.setattr(langid, "WIDE", 2)
+        langid.expected(word, table, 3.0, long)
+        monkeypatch.undo()
+        assert short.keys() == long.keys() and all(math.isclose(short[k], long[k]) for k in short)
+
+
+def test_all_pieces_are_in_use():
+    got = langid.pieces(VOCABULARY)
+    assert len(got) == 23948 and langid.reach(dict.fromkeys(got)) == 16
+
+
+@pytest.mark.parametrize("size", [60, 5000])
+def test_long_words_outside_the_vocabulary(make, size):
+    rows = [("the house of the king", "en"), ("das haus und der hund", "de")] * 10
+    rows += [("ሀ" * size, "en"), ("the king " + "ለ" * size + " of the house", "en"), ("ሐ" * size, None), ("das haus " + "መ" * size + " und der hund", None)]
+    got = sorted(langid.identify(make(rows), VOCABULARY).collect())
+    assert len(got) == len(rows) and all(r.lang_pred in ("en", "de") and 0 <= r.score <= 1 for r in got)
+    assert got[21].lang_pred == "en" and got[23].lang_pred == "de" and got[23].score > 0.9
+
+
 @pytest.fixture(scope="module")
 def got(spark, sf_dir):
     return queries()["op1_language"](spark, sf_dir).collect()
