@@ -6,6 +6,10 @@ because a token at the right end of ``b``, one of the tokens on b's right edge,
 ``(that token, c)`` of lower rank than the one that would have taken it. So each rule reaches
 ``len(b) + the furthest reach of such a rule`` bytes, and the furthest reach of all rules is enough for any text.
 Tokens that end that far before the end of what has been read are stable, and leave the buffer.
+
+Every word goes through the transducer; words met before are looked up. Texts are read in pieces, words are cut off as
+soon as nothing to come can change them, and a word that doesn't end is pushed on piece by piece, so besides the text
+itself memory is constant: a piece, a window, a table of words of bounded number and length.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowgrid.llm.common import arrow_map
@@ -30,8 +34,10 @@ from sparrowgrid.llm.common import arrow_map
 NEVER = 1 << 62
 #: Words kept with their tokens; the table is emptied when it is full.
 CACHE_WORDS = 400_000
-#: Longer words aren't kept, and go through the transducer's window.
-LONG_WORD = 64
+#: Bytes of a word that is kept.
+KEPT_WORD = 64
+#: Characters of a text that are read at once, and of a word beyond which it is pushed on before its end is seen.
+PIECE, RUN = 1 << 16, 1 << 12
 #: What the pattern of byte-level tokenizers calls white space (fixed values).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -79,10 +85,16 @@ class Splitter:
 
     def __init__(self) -> None:
         self.plane, self.all = word_pattern(0xFFFF).findall, word_pattern().findall
+        letters, numbers = category_class("L"), category_class("N")
+        #: Characters that go on with a word of a kind.
+        self.more = {"L": re.compile(f"[{letters}]*"), "N": re.compile(f"[{numbers}]*"), "S": re.compile(f"[{SPACES}]*"), "O": re.compile(f"[^{SPACES}{letters}{numbers}]*")}
 
     def __call__(self, text: str) -> list[str]:
         return self.plane(text) if in_one_plane(text) else self.all(text)
 
+    def kind(self, character: str) -> str:
+        return next(k for k, p in self.more.items() if p.match(character).end())
+
 
 class MergeList:
     """A byte-level merge list as the tokenizers library writes it."""
@@ -101,7 +113,8 @@ class MergeList:
             self.pairs[vocab[a], vocab[b]] = rank << 20 | vocab[a + b]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.special_pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.longest_special = max(map(len, self.special), default=1)
+        self.special_pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else re.compile(r"(?!)")
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -148,7 +161,7 @@ class MergeList:
 class Transducer:
     """Bytes of one word in, stable tokens out. The buffer holds at most a window of bytes besides what is pushed."""
 
-    def __init__(self, merges: MergeList, window: int = 512) -> None:
+    def __init__(self, merges: MergeList, window: int = 128) -> None:
         self.merges, self.held = merges, b""
         self.window = merges.lookahead + window
 
@@ -170,76 +183,78 @@ class Transducer:
         return self.merges.merge([self.merges.byte_id[b] for b in held])
 
 
-class WordMerger:
-    """Many short words at once: each round merges the best pair of every word, in matrices of equal width.
-
-    A word of up to LONG_WORD bytes fits the transducer's window whole, so all its tokens are stable at its end.
-    """
+class Words(dict):
+    """Words to their tokens, each from a transducer when it is first asked for; it is emptied when it is full."""
 
     def __init__(self, merges: MergeList) -> None:
-        self.merges = merges
-        self.byte_id = np.array(merges.byte_id, np.int32)
-        keys = np.array([a << 20 | b for a, b in merges.pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], NEVER)
-        self.values = np.append(np.array(list(merges.pairs.values()), np.int64)[order], NEVER)
-        # pairs of the bytes' own tokens, which every word needs first
-        size = max(merges.byte_id) + 1
-        self.first = np.full((size, size), NEVER, np.int64)
-        for (a, b), x in merges.pairs.items():
-            if a < size and b < size:
-                self.first[a, b] = x
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.int64) << 20 | b
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.values[at], NEVER)
-
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        low = 0
-        for width in (4, 6, 8, 10, 12, 16, 24, LONG_WORD):
-            which = np.flatnonzero((sizes > low) & (sizes <= width))
-            low = width
-            for k in range(0, len(which), 1 << 15):
-                part = which[k : k + (1 << 15)]
-                for n, got in zip(part.tolist(), self._block([words[x] for x in part.tolist()], sizes[part], width), strict=True):
-                    out[n] = got
+        super().__init__()
+        self.transducer = Transducer(merges)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        data = word.encode("utf-8", "surrogatepass")
+        got = (*self.transducer.push(data), *self.transducer.finish())
+        if len(data) <= KEPT_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = got
+        return got
+
+
+class TextStream:
+    """Pieces of a text in, ids out, as soon as nothing to come can change them. Special tokens' strings become their
+    ids, wherever the pieces are cut."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder, self.merges = encoder, encoder.merges
+        self.raw = self.held = ""  # not yet searched for special tokens; not yet cut into words
+        self.run: Transducer | None = None  # of a word that goes on
+        self.kind = ""
+
+    def push(self, piece: str, final: bool = False) -> list[int]:
+        self.raw += piece
+        out, at, far = [], 0, self.merges.longest_special
+        while (m := self.merges.special_pattern.search(self.raw, at)) and (final or m.start() + far <= len(self.raw)):
+            out += self._words(self.raw[at : m.start()], True)
+            out.append(self.merges.special[m[0]])
+            at = m.end()
+        end = len(self.raw) if final else max(at, len(self.raw) - far + 1)
+        out += self._words(self.raw[at:end], final)
+        self.raw = self.raw[end:]
         return out
 
-    def _block(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[tuple[int, ...]]:
-        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
-        ids = self.byte_id[raw]
-        size = sizes.copy()
-        ranks = self.first[ids[:, :-1], ids[:, 1:]]
-        ranks[np.arange(width - 1)[None, :] >= (size - 1)[:, None]] = NEVER
-        rows, columns = np.arange(len(words)), np.arange(width)
-        done: list[tuple[int, ...]] = [()] * len(words)
-        while len(rows):
-            at = ranks.argmin(1)
-            n = np.arange(len(rows))
-            best = ranks[n, at]
-            alive = best < NEVER
-            for k in np.flatnonzero(~alive).tolist():
-                done[rows[k]] = tuple(ids[k, : size[k]].tolist())
-            if not alive.any():
-                break
-            rows, ids, ranks, size, at, best = rows[alive], ids[alive], ranks[alive], size[alive], at[alive], best[alive]
-            n = np.arange(len(rows))
-            ids[n, at] = best & 0xFFFFF
-            # the column after each merge goes: everything right of it moves by one
-            step = np.minimum(columns[None, :] + (columns[None, :] > at[:, None]), width - 1)
-            ids = np.take_along_axis(ids, step, 1)
-            ranks = np.take_along_axis(ranks, np.minimum(columns[None, :-1] + (columns[None, :-1] >= at[:, None]), width - 2), 1)
-            size = size - 1
-            ranks[n, np.maximum(size - 1, 0)] = NEVER
-            ranks[n, np.minimum(size, width - 2)] = NEVER
-            left = np.flatnonzero(at > 0)
-            ranks[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
-            right = np.flatnonzero(at < size - 1)
-            ranks[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
-        return done
+    def finish(self) -> list[int]:
+        return self.push("", True)
+
+    def _words(self, text: str, final: bool) -> list[int]:
+        text, self.held = self.held + text, ""
+        out: list[int] = []
+        if self.run:
+            end = self.encoder.split.more[self.kind].match(text).end()
+            if end == len(text) and not final:
+                return self._go_on(text)
+            # of white space before a word, the last character belongs to what follows
+            own = end - 1 if self.kind == "S" and end < len(text) else end
+            out += self.run.push(text[:own].encode())
+            out += self.run.finish()
+            text, self.run = text[own:], None
+        words = self.encoder.split(text)
+        if not final:
+            last, tail = "", ""
+            # the last word may go on, and three characters are needed to tell a short form after an apostrophe
+            while words and len(tail) < 3:
+                last = words.pop()
+                tail = last + tail
+            if tail == last and len(last) > RUN:
+                out += self.encoder.ids(words)
+                self.run, self.kind = Transducer(self.merges), self.encoder.split.kind(last[-1])
+                return out + self._go_on(last)
+            self.held = tail
+        return out + self.encoder.ids(words)
+
+    def _go_on(self, text: str) -> list[int]:
+        if self.kind == "S":
+            text, self.held = text[:-1], text[-1:]
+        return list(self.run.push(text.encode()))
 
 
 class Encoder:
@@ -247,44 +262,24 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.merges = MergeList(path)
-        self.short = WordMerger(self.merges)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Words(self.merges)
         self.split = Splitter()
 
-    def _learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Tokens of words that the table lacks. Long ones are streamed and not kept."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        named = [(w, w.encode("utf-8", "surrogatepass")) for w in words]
-        short = [(w, b) for w, b in named if len(b) <= LONG_WORD]
-        self.words.update(zip((w for w, _ in short), self.short.encode([b for _, b in short]), strict=True))
-        long = {}
-        for w, b in named:
-            if len(b) > LONG_WORD:
-                t = Transducer(self.merges)
-                long[w] = (*t.push(b), *t.finish())
-        return long
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        m, split = self.merges, []
-        for t in texts:
-            if any(s in t for s in m.special):
-                split.append([x for k, p in enumerate(m.special_pattern.split(t)) for x in ((p,) if k % 2 else self.split(p))])
-            else:
-                split.append(self.split(t))
-        words = set().union(*split)
-        table = self.words
-        new = words - table.keys() - m.special.keys()
-        if len(table) + len(new) > CACHE_WORDS:
-            new = words - m.special.keys()
-        extra = self._learn(new) | {s: (i,) for s, i in m.special.items()}
-        if words.isdisjoint(extra):
-            get = table.__getitem__
-            return [list(chain.from_iterable(map(get, w))) for w in split]
-        return [[i for w in ws for i in (extra[w] if w in extra else table[w])] for ws in split]
+    def ids(self, words: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.words.__getitem__, words)))
+
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, in parts of bounded length."""
+        if len(text) <= PIECE and not any(s in text for s in self.merges.special):
+            yield self.ids(self.split(text))
+            return
+        t = TextStream(self)
+        for k in range(0, len(text), PIECE):
+            yield t.push(text[k : k + PIECE])
+        yield t.finish()
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
+        return list(chain.from_iterable(self.stream(text)))
 
 
 class Decoder:
@@ -327,7 +322,7 @@ def encode_column(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
     def run(batches):
         e = encoder(vocabulary)
         for b in batches:
-            got = e.encode_batch([t or "" for t in b.column(text).to_pylist()])
+            got = [e.encode(t or "") for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(got, pa.list_(pa.int32()))], [*kept, ids])
 
     schema = df.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
@@ -335,22 +330,29 @@ def encode_column(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
 
 
 def round_trip(df: DataFrame, vocabulary: str) -> DataFrame:
-    """Per document: token count, digests of the ids and of the text decoded from them.
+    """Per document: token count, digests of the ids and of the text decoded from them, all streamed.
 
-    Nulls in ``text`` are empty texts (0 tokens); repeated rows stay; any other column is ignored.
+    Nulls in ``text`` are empty texts (0 tokens); repeated rows stay; an empty table gives no rows; any other column is
+    ignored.
     """
     def run(batches):
         e = encoder(vocabulary)
         names = {i: str(i) for i in e.merges.token_bytes}
         for b in batches:
             out = []
-            for ids in e.encode_batch([t or "" for t in b.column("text").to_pylist()]):
-                text = decode(e.merges, ids)
-                out.append((len(ids), sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), sha256(text.encode()).hexdigest()))
+            for text in b.column("text").to_pylist():
+                n, ids_hash, text_hash, decoder = 0, sha256(), sha256(), Decoder(e.merges)
+                for ids in e.stream(text or ""):
+                    if ids:
+                        ids_hash.update(("," * bool(n) + ",".join(map(names.__getitem__, ids))).encode())
+                        text_hash.update(decoder.push(ids).encode())
+                        n += len(ids)
+                text_hash.update(decoder.finish().encode())
+                out.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
             n, a, d = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_map(df.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_checked(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -363,7 +365,7 @@ def encode_checked(df: DataFrame, vocabulary: str) -> DataFrame:
         e = encoder(vocabulary)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = e.encode_batch(texts)
+            ids = [e.encode(t) for t in texts]
             for t, i in zip(texts, ids, strict=True):
                 if decode(e.merges, i) != t:
                     raise ValueError("a text doesn't survive encoding and decoding")

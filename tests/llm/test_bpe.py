@@ -44,6 +44,34 @@ def test_every_code_point(library, encoder):
         assert encoder.encode(t) == want.ids
 
 
+@pytest.mark.parametrize("piece,run", [(1, 1), (2, 3), (7, 4), (50, 20)])
+def test_texts_in_pieces_of_any_size_as_the_library(library, encoder, monkeypatch, piece, run):
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    monkeypatch.setattr(bpe, "RUN", run)
+    rng = random.Random(piece)
+    texts = [t for t in ODD if t is not None and len(t) < 5000]
+    for _ in range(150):
+        letters = rng.choice([["ab", " ", "'re", "'s", "'"], ["12", " ", "   ", "\n", "\t", "x"], ["<|endoftext|>", "<|end", "a", " "], ["é", "漢", "\U0001f600", " ", "!?", "'ll"], [" "], ["x"], ["7"], ["-"]])
+        texts.append("".join(rng.choices(letters, k=rng.choice([1, 2, 5, 40, 200]))))
+    for t in texts:
+        assert encoder.encode(t) == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_streams_hold_a_bounded_part(encoder):
+    for unit in ("ab", " ", "12", "-", "word "):
+        t, held = bpe.TextStream(encoder), 0
+        for _ in range(40):
+            t.push(unit * 5000)
+            held = max(held, len(t.raw) + len(t.held) + len(t.run.held if t.run else b""))
+        assert held <= bpe.RUN + 500
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "x", "\r\n", "ab"])
+def test_runs_of_a_million(library, encoder, unit):
+    text = f"begin{unit * (1_100_000 // len(unit))}end"
+    assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pushes_of_any_size_give_the_same_tokens(encoder):
     rng, data = random.Random(2), "".join(random.Random(1).choices("aetrhins", k=5000)).encode()
     whole = encoder.merges.merge([encoder.merges.byte_id[b] for b in data])
