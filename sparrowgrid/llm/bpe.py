@@ -22,7 +22,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,18 +139,21 @@ class MergeList:
             made.setdefault(token, (rank, a, b))
         return most
 
+    def ids(self, data: bytes) -> list[int]:
+        """Tokens of some bytes: lowest rank first, leftmost first."""
+        return self.merge(list(map(self.byte_id.__getitem__, data)))
+
     def merge(self, ids: list[int]) -> list[int]:
         """Lowest rank first, leftmost first."""
         get = self.pairs.get
-        ranks = [get(p, NEVER) for p in zip(ids, ids[1:], strict=False)]
+        ranks = list(map(get, zip(ids, ids[1:], strict=False), repeat(NEVER)))
         while ranks:
             best = min(ranks)
             if best == NEVER:
                 break
             at = ranks.index(best)
-            token = best & 0xFFFFF
-            ids[at : at + 2] = (token,)
-            del ranks[at]
+            ids[at] = token = best & 0xFFFFF
+            del ids[at + 1], ranks[at]
             if at:
                 ranks[at - 1] = get((ids[at - 1], token), NEVER)
             if at < len(ranks):
@@ -165,22 +168,23 @@ class Transducer:
         self.merges, self.held = merges, b""
         self.window = merges.lookahead + window
 
-    def push(self, data: bytes) -> Iterator[int]:
-        at, data = 0, self.held + data
+    def push(self, data: bytes) -> list[int]:
+        data, at, out = self.held + data if self.held else data, 0, []
         while len(data) - at > self.window:
             piece = data[at : at + self.window]
             stable, end = len(piece) - self.merges.lookahead, 0
-            for token in self.merges.merge([self.merges.byte_id[b] for b in piece]):
+            for token in self.merges.ids(piece):
                 end += len(self.merges.token_bytes[token])
                 if end > stable:
                     break
-                yield token
+                out.append(token)
                 at += len(self.merges.token_bytes[token])
-        self.held = data[at:]
+        self.held = data[at:] if at else data
+        return out
 
     def finish(self) -> list[int]:
         held, self.held = self.held, b""
-        return self.merges.merge([self.merges.byte_id[b] for b in held])
+        return self.merges.ids(held)
 
 
 class Words(dict):
@@ -254,7 +258,7 @@ class TextStream:
     def _go_on(self, text: str) -> list[int]:
         if self.kind == "S":
             text, self.held = text[:-1], text[-1:]
-        return list(self.run.push(text.encode()))
+        return self.run.push(text.encode())
 
 
 class Encoder:
