@@ -33,16 +33,25 @@ def test_fast_encoder_as_the_library():
         assert fast.encode(t).tolist() == want.ids
 
 
-@pytest.mark.parametrize("rows", [3, 4096])
-def test_files_against_the_library(spark, make, tmp_path, rows):
+@pytest.mark.parametrize("unit", [" ", "\n", "x"])
+def test_runs_of_a_million(unit):
+    library, fast = tokenizers.Tokenizer.from_file(vocabulary_path()), records.FastEncoder(vocabulary_path())
+    text = f"begin{unit * 1_100_000}end"
+    assert fast.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size,file", [(500, 300), (20000, 1), (8 << 20, 256 << 20)])
+def test_files_against_the_library(spark, make, tmp_path, monkeypatch, size, file):
+    monkeypatch.setattr(records, "CHUNK", size)
     library = tokenizers.Tokenizer.from_file(vocabulary_path())
     ids = [5, 3, 9, 1, 0, 100, 50, 51, 2, 7, 6]
     docs = make(ODD, ids)
     folder = f"file://{tmp_path}/out"
-    manifest = records.write(docs, vocabulary_path(), folder, rows=rows)
-    got = {r.doc_id: r for r in records.read(spark, folder, manifest).collect()}
-    assert len(list((tmp_path / "out").glob("*.idx"))) == len(manifest) == len(list((tmp_path / "out").glob("*.rec")))
-    assert not list((tmp_path / "out").glob("*tmp"))
+    records.write(docs, vocabulary_path(), folder, size=size, file=file)
+    got = {r.doc_id: r for r in records.read(spark, folder).collect()}
+    files = records.shards(spark, folder).count()
+    assert len(list((tmp_path / "out").glob("*.idx"))) == files == len(list((tmp_path / "out").glob("*.rec")))
+    assert not list((tmp_path / "out").glob("*tmp")) and (files == 1) == (size > 1 << 20)
     at = 0
     for doc_id, text in sorted(zip(ids, ODD, strict=True)):
         want = [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -50,6 +59,27 @@ def test_files_against_the_library(spark, make, tmp_path, rows):
         at += len(want)
 
 
+def test_damage_of_files_is_found(spark, make, tmp_path):
+    for what in ("rec", "idx"):
+        folder = tmp_path / what
+        records.write(make(["some words", "more", "and more"]), vocabulary_path(), f"file://{folder}")
+        (path,) = folder.glob(f"*.{what}")
+        bad = bytearray(path.read_bytes())
+        bad[len(bad) // 2] ^= 1
+        path.write_bytes(bytes(bad))
+        with pytest.raises(Exception, match="CorruptRecord"):
+            records.read(spark, f"file://{folder}").collect()
+
+
+def test_many_rows_of_one_id(spark, make, tmp_path):
+    texts = [f"text number {k} " * 20 for k in range(60)]
+    folder = f"file://{tmp_path}/hot"
+    records.write(make(texts, [None] * 60), vocabulary_path(), folder, size=2000)
+    assert records.shards(spark, folder).count() > 3
+    got = sorted((r.start, r.n_tokens) for r in records.read(spark, folder).collect())
+    assert len(got) == 60 and [a for a, _ in got] == [sum(n for _, n in got[:k]) for k in range(60)]
+
+
 def test_empty_null_and_repeated_ids(spark, make, tmp_path):
     docs = make(["b", "a", "c", "a"], [4, None, 4, 4])
     got = records.digest(docs, vocabulary_path(), f"file://{tmp_path}/r").collect()
