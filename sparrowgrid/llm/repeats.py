@@ -33,7 +33,7 @@ LENGTH, KGRAM = 200, 48
 #: Strings of a document that are handled at once; a longer one is cut into overlapping parts.
 PART = 1 << 20
 #: Contexts of one anchor hash beyond which their strings are counted by Spark instead of sorted in one task.
-HOT = 1024
+HOT = 4096
 #: Bytes of contexts that are sorted at once, but for an anchor's own.
 SORTED = 2 << 20
 
