@@ -39,6 +39,29 @@ def test_recall_against_brute_force(spark, shard):
     assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in sorted(want) for k in range(1, 21)]
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "outlier", "large", "small", "spread"])
+def test_recall_at_any_length(spark, kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    if kind == "outlier":
+        x[11] *= 10_000
+    elif kind == "spread":
+        x *= 10.0 ** rng.integers(-3, 4, (3000, 1))
+    else:
+        x *= {"gaussian": 1, "large": 1e20, "small": 1e-20}[kind]
+    x = x.astype(np.float32)
+    df = table(spark, x)
+    got = ann.search(df, df.filter("vec_id % 20 = 0")).collect()
+    assert len(got) == 3000 and recall(got, brute(x, list(range(3000)))) >= 0.9
+
+
+def test_a_vector_that_nearly_all_share(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MERGED", 2)
+    df = spark.range(20_000).selectExpr("id as vec_id", "if(id % 50 = 7, array(float(id), 1f), array(3f, 2f)) as embedding")
+    got = ann.distinct_vectors(ann.usable(df), 20_000, 20).collect()
+    assert len(got) == 401 and [r.ids for r in got if len(r.ids) > 1] == [[*range(7), *range(8, 22)]]
+
+
 def test_query_recall(spark, sf_dir):
     got = queries()["op2_nearest_vectors"](spark, sf_dir).collect()
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
@@ -47,7 +70,7 @@ def test_query_recall(spark, sf_dir):
 
 def test_pruning_keeps_the_nearest_and_drops_the_hidden():
     angle = np.array([0, 0.1, 0.2, -1.0])
-    x = ann.lift(np.stack([np.cos(angle), np.sin(angle)], 1))  # on a circle, where lifting changes nothing
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
     got = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 1, -1, 0]]), 1.0, 4)[0]
     assert set(got[got >= 0]) == {1, 3}
 
