@@ -51,6 +51,7 @@ def texts(rng, n):
 @pytest.mark.parametrize("rows", [7, 2048])
 def test_against_brute_force(make, monkeypatch, rows):
     monkeypatch.setattr(sketch, "ROWS", rows)
+    monkeypatch.setattr(sketch, "BYTES", rows * 1000)
     rng = random.Random(11)
     ts = texts(rng, 40) + ODD
     ids = rng.sample(range(1000), len(ts))
@@ -79,6 +80,13 @@ def test_peeling_grows_until_it_recovers_all(spark, n):
     assert df.select(small.alias("d")).first().d == (2 * n if n < 10 else None)
 
 
+def test_digests_are_counted_where_no_sketch_peels(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "WAVES", 0)
+    monkeypatch.setattr(sketch, "peel", lambda cells_of, cells, waves=0: F.lit(None).cast("bigint"))
+    df = spark.range(1).select(F.expr("array(5L, 5L, 7L, 9L)").alias("a"), F.expr("array(9L, 5L, 8L, 8L)").alias("b"))
+    assert df.select(sketch.difference(F.col("a"), F.col("b")).alias("d")).first().d == 4
+
+
 def test_only_dataframe_operations(make):
     plan = sketch.digest(make(["a b", "c"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
