@@ -33,6 +33,14 @@ def _total(df: DataFrame, keep: Sequence[str], dtype: str) -> DataFrame:
     return df.groupBy(*keep).agg(total) if keep else df.agg(F.coalesce(total, F.lit(0).cast(ACCUMULATOR[dtype])).alias(VALUE))
 
 
+def _summed(t: Tensor, keep: Sequence[str]) -> Tensor:
+    """A tensor without the modes that aren't kept; an empty one stays empty."""
+    total = F.sum(F.col(VALUE).cast(ACCUMULATOR[t.dtype])).alias(VALUE)
+    df = t.df.groupBy(*keep).agg(total) if keep else t.df.agg(total).filter(F.col(VALUE).isNotNull())
+    shape, fmt = dict(zip(t.dims, t.shape, strict=True)), dict(zip(t.dims, t.fmt, strict=True))
+    return Tensor(df, tuple(keep), tuple(shape[d] for d in keep), "".join(fmt[d] for d in keep))
+
+
 def _pair(a: Tensor, b: Tensor, keep: Sequence[str], summed: bool) -> Tensor:
     shared = [d for d in a.dims if d in b.dims]
     wide = ACCUMULATOR[a.dtype]
@@ -66,7 +74,8 @@ def contract(tensors: Sequence[Tensor], output: Sequence[str], fmt: str | None =
     work = dict(enumerate(tensors))
     steps = plan([t.dims for t in tensors], inner, [estimate(t) for t in tensors], [bool(set(t.fmt) & set("so")) for t in tensors])
     for at, s in enumerate(steps):
-        work[len(tensors) + at] = _pair(work.pop(s.left), work.pop(s.right), s.keep, summed)
+        left = work.pop(s.left)
+        work[len(tensors) + at] = _summed(left, s.keep) if s.right < 0 else _pair(left, work.pop(s.right), s.keep, summed)
     (got,) = work.values()
     if set(got.dims) != set(inner) or not inner or not got.coalesced:
         got = Tensor(_total(got.df, inner, got.dtype), tuple(inner), tuple(dict(zip(got.dims, got.shape, strict=True))[d] for d in inner), "o" * len(inner))

@@ -51,7 +51,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     ),
     "q_self_spgemm": (
         "A14",
-        """select x.k as k1, y.k as k2, sum(x.v * y.v) as v from B x join B y on x.j = y.j where x.j < 200 group by x.k, y.k""",
+        """select x.k as k1, y.k as k2, sum(x.v * y.v) as v from B x join B y on x.j = y.j group by x.k, y.k""",
     ),
     "q_sddmm": (
         "C7",
@@ -59,15 +59,23 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     ),
     "q_matmul_dense": (
         "C8",
-        """select x.j as j, y.k as k, sum(x.v * y.v) as v from D x join K y on x.f = y.f where x.j < 100 group by x.j, y.k""",
+        """select x.j as j, y.k as k, sum(x.v * y.v) as v from D x join K y on x.f = y.f group by x.j, y.k""",
     ),
-    "q_self_spgemm_whole": (
-        "A14",
-        """select x.k as k1, y.k as k2, sum(x.v * y.v) as v from B x join B y on x.j = y.j group by x.k, y.k""",
+    "q_private_index": (
+        "C16",
+        """select n.n_nationkey as i, b.k as k, (n.n_nationkey + 1) * b.v as v from (select cast(n_nationkey as bigint) as n_nationkey from nation) n cross join (select k, sum(v) as v from B group by k) b""",
     ),
-    "q_matmul_dense_whole": (
-        "C8",
-        """select x.j as j, y.k as k, sum(x.v * y.v) as v from D x join K y on x.f = y.f group by x.j, y.k""",
+    "q_vector_matrix": (
+        "C2",
+        """select b.k as k, sum(p.p_size * b.v) as v from B b join part p on b.j = p.p_partkey group by b.k""",
+    ),
+    "q_dot": (
+        "C2",
+        """select cast(sum(p_size * (p_partkey % 7)) as double) as v from part""",
+    ),
+    "q_metrics": (
+        "A23",
+        """select round(avg(case when l_partkey % 3 = l_suppkey % 3 then 1e0 else 0e0 end), 9) as accuracy, round(avg(-ln(l_quantity / 51)), 9) as nll from lineitem""",
     ),
     "q_hadamard": (
         "C9",
@@ -260,12 +268,11 @@ select cast(W2.o as bigint) as o, H.k as k, round(1 / (1 + exp(-(sum(W2.w * H.v)
 EXTRA["q_encode"] = """with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) as token, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9'']+'), 1) as pos from documents),
 c as (select token, count(*) as n from w group by token),
 r as (select token, row_number() over (order by n desc, token) + 1 as id, row_number() over (order by n desc, token) as rn from c),
-e as (select w.doc_id, w.pos, coalesce(case when r.rn <= 1000 then r.id end, 0) as id from w left join r on r.token = w.token where w.pos <= 8),
+e as (select w.doc_id, w.pos, coalesce(case when r.rn <= 1000 then r.id end, 0) as id from w left join r on r.token = w.token where w.pos <= 8192),
 l as (select doc_id, list(id order by pos) as ids from e group by doc_id)
-select doc_id, array_to_string(list_concat(ids, list_transform(range(8 - len(ids)), lambda x: 1)), ',') as ids from l"""
-EXTRA["q_encode_whole"] = EXTRA["q_encode"].replace("w.pos <= 8)", "w.pos <= 8192)").replace("range(8 - len(ids))", "range(8192 - len(ids))")
+select doc_id, array_to_string(list_concat(ids, list_transform(range(8192 - len(ids)), lambda x: 1)), ',') as ids from l"""
 #: Other ways to the same result.
-SAME = {"q_transposed_rhs": "q_spmm", "q_spmm_long": "q_spmm", "q_matmul_vector": "q_spmv"}
+SAME = {"q_transposed_rhs": "q_spmm", "q_spmm_long": "q_spmm", "q_matmul_vector": "q_spmv", "q_sddmm_kj": "q_sddmm", "q_mode_order": "q_coalesce", "q_compiled": "q_spmm_scale"}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,11 @@ VALUE = "v"
 ACCUMULATOR = {"float": "double", "double": "double", "tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint"}
 
 
+def stored(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Rows without a null coordinate or value; NaN is a value."""
+    return df.filter(reduce(and_, [F.col(c).isNotNull() for c in (*dims, VALUE)]))
+
+
 class ShapeError(ValueError):
     """Operands whose modes don't agree."""
 
@@ -57,7 +64,7 @@ class Tensor:
             raise TypeError(f"no tensor of {dtype}")
         rank = len(dims)
         cols = [F.col(d).cast("bigint").alias(d) for d in dims]
-        cells = df.select(*cols, F.col(value).cast(dtype).alias(VALUE)).dropna()
+        cells = stored(df.select(*cols, F.col(value).cast(dtype).alias(VALUE)), dims)
         if not coalesced:
             cells = cells.groupBy(*dims).agg(F.sum(F.col(VALUE).cast(ACCUMULATOR[dtype])).alias(VALUE))
         return Tensor(cells, tuple(dims), tuple(shape or [None] * rank), check_format(fmt or "o" * rank, rank))
@@ -70,7 +77,7 @@ class Tensor:
         operators need ``convert.coalesce`` first.
         """
         cols = [F.col(d).cast("bigint").alias(d) for d in dims]
-        cells = df.select(*cols, F.col(value).cast("double").alias(VALUE)).dropna()
+        cells = stored(df.select(*cols, F.col(value).cast("double").alias(VALUE)), dims)
         return Tensor(cells, tuple(dims), tuple(shape or [None] * len(dims)), check_format(fmt or "o" * len(dims), len(dims)), coalesced=False)
 
     @staticmethod
@@ -78,7 +85,7 @@ class Tensor:
         """A dense matrix kept as one array a row, unfolded to cells."""
         cells = df.select(F.col(key).cast("bigint").alias(dims[0]), F.posexplode(array).alias(dims[1], VALUE))
         cells = cells.select(dims[0], F.col(dims[1]).cast("bigint").alias(dims[1]), F.col(VALUE).cast("double").alias(VALUE))
-        return Tensor(cells.dropna(), tuple(dims), (None, width), "dd")
+        return Tensor(stored(cells, dims), tuple(dims), (None, width), "dd")
 
     @staticmethod
     def from_csr(rows: DataFrame, cells: DataFrame, dims: Sequence[str], shape: Sequence[int | None] | None = None) -> Tensor:

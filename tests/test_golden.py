@@ -49,7 +49,7 @@ def test_outer(spark):
 
 def test_matrix_product_and_sum(spark):
     a, b = tensor(spark, A5, ["i", "j"]), tensor(spark, B5, ["j", "k"])
-    assert dense(a @ b, (5, 5)).tolist() == [[1, 4, 0, 19, 5], [2, 4, 0, 0, 0], [3, 0, 3 * 0, 0, 0], [0] * 5, [5, 0, 0, 15, 5]]
+    assert dense(a @ b, (5, 5)).tolist() == [[1, 4, 0, 19, 5], [2, 4, 0, 0, 0], [3, 0, 0, 0, 0], [0] * 5, [5, 0, 0, 15, 5]]
     pointers, entries = convert.to_csr(a + b)
     assert [r.pos_end for r in pointers.orderBy("r").collect()] == [5, 7, 9, 10, 13]
     assert [r.v for r in entries.orderBy("p").collect()] == [2, 2, 3, 4, 5, 2, 4, 3, 3, 1, 5, 3, 6]
