@@ -33,7 +33,7 @@ from sparrowgrid.llm.common import arrow_map
 
 NEVER = 1 << 62
 #: Words kept with their tokens; the table is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Bytes of a word that is kept.
 KEPT_WORD = 64
 #: Characters of a text that are read at once, and of a word beyond which it is pushed on before its end is seen.

@@ -182,7 +182,7 @@ class Signer:
     """Texts to signatures of ``lanes`` 64-bit numbers, by shingles of words with A-Z lowered."""
 
     #: Words kept with their hashes; the table is emptied when it is full.
-    CACHE = 200_000
+    CACHE = 100_000
 
     def __init__(self, words: int, lanes: int) -> None:
         self.n, self.lanes, self.words, self.seeds = words, lanes, {}, None
