@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.llm.common import ship, written
 
 #: Distinct vectors of a shard, queries of a block: both bound a task's memory. Every query meets every shard.
-SHARD, QUERIES = 20_000, 1 << 15
+SHARD, QUERIES = 5000, 1 << 15
 #: Powers of two over which the lengths of a shard's vectors may spread, about.
 BAND = 16
 #: Groups of ids that are merged at once, when one vector has very many.
