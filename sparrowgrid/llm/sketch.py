@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.llm.common import text_keys, written
 
-#: Words of a paragraph at most in the registered query; cells of the published sketch; growth of a retry after the
+#: Words of a paragraph at most; cells of the published sketch; growth of a retry after the
 #: first; tries; waves of peeling of a try.
 RUN, CELLS, GROWTH, TRIES, WAVES = 20, 24, 8, 3, 24
 #: Digests have 40 bits, so that sums of millions of equal ones fit 63.
@@ -208,7 +208,7 @@ def likeness(diff: Column, one: Column, two: Column) -> Column:
     return F.when(total > 0, 1 - diff / total).otherwise(F.lit(1.0))
 
 
-def digest(docs: DataFrame, run: int = 32) -> DataFrame:
+def digest(docs: DataFrame, run: int = RUN) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and their likenesses (see ``edited_with_next``), by
     paragraphs of ``run`` words at most.
 
