@@ -35,7 +35,7 @@ PART = 1 << 20
 #: Contexts of one anchor hash beyond which their strings are counted by Spark instead of sorted in one task.
 HOT = 4096
 #: Bytes of contexts that are sorted at once, but for an anchor's own.
-SORTED = 2 << 20
+SORTED = 1 << 20
 
 #: The base of the anchors' own hashes, modulo 2^64, which only propose.
 BASE = np.uint64(0x5851F42D4C957F2D)
