@@ -13,6 +13,8 @@ from sparrowgrid.operators.contract import contract, einsum, matmul, mttkrp, out
 from sparrowgrid.operators.elementwise import add, broadcast_mode, div, hadamard, sub
 from sparrowgrid.operators.fused import compiled, pipeline
 from sparrowgrid.plans.expr import Access, evaluate
+from sparrowgrid.sources import matrix
+from sparrowgrid.sources.scratch import scratch
 from sparrowgrid.tensor import VALUE, Tensor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,6 +260,64 @@ def _accuracy(x: Tables) -> DataFrame:
     return graph.masked_accuracy(predicted, truth, "j", "test").select(F.round("accuracy", 9).alias("accuracy"))
 
 
+def _nations(x: Tables) -> Tensor:
+    """A matrix of the 25 nations and 5 regions, the same at every size of the tables."""
+    cells = x.read("nation").select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("j"), (F.col("n_nationkey") + 1.0).alias(VALUE))
+    return Tensor.from_df(cells, ["i", "j"], shape=(25, 5))
+
+
+def _read_mtx(x: Tables) -> DataFrame:
+    """A Matrix Market file, written here as the one text that it is, and read."""
+    entry = F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, VALUE)
+    text = F.concat_ws("\n", F.lit("%%MatrixMarket matrix coordinate real general"), F.lit("% nations by region"), F.concat_ws(" ", F.lit(25), F.lit(5), F.count("*")), F.array_join(F.collect_list(entry), "\n"))
+    path = scratch(x.spark, "mtx")
+    _nations(x).df.agg(text.alias("value")).write.text(path)
+    return matrix.read_mtx(x.spark, path).df
+
+
+def _to_host(x: Tables) -> DataFrame:
+    """The nonzero cells of a numpy array."""
+    got = _nations(x).to_numpy()
+    return x.spark.createDataFrame([(int(i), int(j), float(got[i, j])) for i, j in zip(*got.nonzero(), strict=True)], "i long, j long, v double")
+
+
+def _graph_source(x: Tables) -> DataFrame:
+    path = scratch(x.spark, "graph")
+    x.edges.write.parquet(f"{path}/edges.parquet")
+    x.nodes.write.parquet(f"{path}/nodes.parquet")
+    edges, nodes = matrix.read_graph(x.spark, path)
+    return edges.join(nodes.select(F.col("s_suppkey").alias("s")), "s", "left_semi").select("s", "d")
+
+
+def _results_sink(x: Tables) -> DataFrame:
+    """Results appended twice to CSV and once to JSON, all read back."""
+    path, got = scratch(x.spark, "results"), x.read("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    for kind in ("csv", "csv", "json"):
+        matrix.append_results(got, f"{path}/{kind}", kind)
+    read = x.spark.read.schema("event_type string, n long")
+    return read.csv(f"{path}/csv", header=True).unionByName(read.json(f"{path}/json"))
+
+
+def _labelled_csv(x: Tables) -> DataFrame:
+    path = scratch(x.spark, "labelled")
+    x.read("lineitem").select("l_linenumber", "l_returnflag", "l_linestatus").write.csv(path)
+    return matrix.read_labelled_csv(x.spark, path, 3)
+
+
+def _labelled_text(x: Tables) -> DataFrame:
+    """A file a region with its nations, in folders named by region, which give the label."""
+    path = scratch(x.spark, "folders")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda n: n["n_name"]), " ")
+    x.read("nation").groupBy("n_regionkey").agg(names.alias("value")).write.partitionBy("n_regionkey").text(path)
+    return matrix.read_labelled_text(x.spark, path, {f"n_regionkey={k}": k for k in range(5)})
+
+
+def _random_exact(x: Tables) -> DataFrame:
+    t = matrix.random_exact(x.spark, 1000, 800, 5000, 1)
+    inside = F.col("i").between(0, 999) & F.col("j").between(0, 799) & (F.col(VALUE) > 0) & (F.col(VALUE) <= 1)
+    return t.df.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("places"), F.every(inside).alias("inside"))
+
+
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "q_coalesce": lambda x: x.a.df,
     "q_spmv": lambda x: spmv(x.raw("a"), x.vector("part", "p_partkey", "p_size", "j")).df,
@@ -330,6 +390,13 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "q_mode_order": lambda x: convert.change_mode_order(x.a, (1, 0)).df,
     "q_metrics": lambda x: _metrics(x),
     "q_compiled": lambda x: compiled(lambda a, d: pipeline(a, d, [("mul", lambda f: f + 1)]))(x.raw("a"), x.d).df,
+    "q_read_mtx": lambda x: _read_mtx(x),
+    "q_to_host": lambda x: _to_host(x),
+    "q_graph_source": lambda x: _graph_source(x),
+    "q_results_sink": lambda x: _results_sink(x),
+    "q_labelled_csv": lambda x: _labelled_csv(x),
+    "q_labelled_text": lambda x: _labelled_text(x),
+    "q_random_exact": lambda x: _random_exact(x),
     "q_matmul_vector": lambda x: matmul(x.raw("a"), x.vector("part", "p_partkey", "p_size", "j")).df,
 }
 
