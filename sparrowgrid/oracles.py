@@ -274,7 +274,7 @@ select doc_id, array_to_string(list_concat(ids, list_transform(range(8192 - len(
 EXTRA["q_read_mtx"] = EXTRA["q_to_host"] = "select cast(n_nationkey as bigint) as i, cast(n_regionkey as bigint) as j, n_nationkey + 1e0 as v from nation"
 EXTRA["q_results_sink"] = "select event_type, count(*) as n from events cross join range(3) group by event_type, range"
 EXTRA["q_labelled_csv"] = "select cast(l_linenumber - 1 as integer) as label, l_returnflag || ' ' || l_linestatus as text from lineitem"
-EXTRA["q_labelled_text"] = "select string_agg(n_name, ' ' order by n_nationkey) as text, cast(n_regionkey as integer) as label from nation group by n_regionkey"
+EXTRA["q_labelled_text"] = "select string_agg(n_name, ' ' order by n_nationkey) || chr(10) as text, cast(n_regionkey as integer) as label from nation group by n_regionkey"
 EXTRA["q_random_exact"] = "select cast(5000 as bigint) as n, cast(5000 as bigint) as places, true as inside"
 #: Other ways to the same result.
 SAME = {"q_transposed_rhs": "q_spmm", "q_spmm_long": "q_spmm", "q_matmul_vector": "q_spmv", "q_sddmm_kj": "q_sddmm", "q_mode_order": "q_coalesce", "q_compiled": "q_spmm_scale", "q_graph_source": "q_undirect"}

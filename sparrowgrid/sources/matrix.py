@@ -43,7 +43,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_labelled_text(spark: SparkSession, path: str, labels: dict[str, int]) -> DataFrame:
     """``(text, label)`` of whole files; the label is that of the folder's name."""
-    df = spark.read.option("wholetext", True).text(path, recursiveFileLookup=True).select(
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("value").alias("text"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder")
     )
     pairs = [x for k, v in labels.items() for x in (F.lit(k), F.lit(v))]
