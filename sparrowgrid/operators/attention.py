@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.operators.contract import contract, sddmm
 from sparrowgrid.operators.convert import coalesce
+from sparrowgrid.operators.rows import exponential_sums
 from sparrowgrid.tensor import VALUE, Tensor
 
 
@@ -35,11 +36,9 @@ def block_mask(nodes: DataFrame, width: int, block: int) -> DataFrame:
 
 
 def row_softmax(t: Tensor, scale: float = 1.0) -> Tensor:
-    """Over the stored cells of each row, shifted by the row's maximum; ``scale`` divides first."""
-    w = Window.partitionBy(*t.dims[:-1])
+    """Over the stored cells of each row; ``scale`` divides first. No row is held in one task."""
     t = coalesce(t)
-    e = t.df.withColumn("_e", F.exp((F.col(VALUE) - F.max(VALUE).over(w)) / scale))
-    return t.with_df(e.select(*t.dims, (F.col("_e") / F.sum("_e").over(w)).alias(VALUE)))
+    return t.with_df(exponential_sums(t, scale).select(*t.dims, (F.exp("_z") / F.col("_sum")).alias(VALUE)))
 
 
 def sparse_attention(mask: DataFrame, q: Tensor, k: Tensor, v: Tensor, scale: float) -> Tensor:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.operators.contract import matmul
 from sparrowgrid.operators.convert import coalesce
 from sparrowgrid.operators.elementwise import broadcast_mode
+from sparrowgrid.sources.scratch import scratch
 from sparrowgrid.tensor import VALUE, Tensor
 
 
@@ -19,7 +20,7 @@ def kth_value(t: Tensor, k: int | None = None, share: float | None = None) -> fl
     global sort. None if there is no such cell.
 
     Up to FEW distinct magnitudes are counted in one pass. With more, a range of values is narrowed by counts of
-    1,024 bins until few remain: each pass is one aggregation with bounded output.
+    1,024 bins until few remain: each pass is one aggregation with bounded output, over counts written once.
     """
     counts = coalesce(t).df.select(F.abs(VALUE).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
 
@@ -34,6 +35,9 @@ def kth_value(t: Tensor, k: int | None = None, share: float | None = None) -> fl
     if len(few) <= FEW:
         k = int(sum(n for _, n in few) * share) if k is None else k
         return sorted_pick(few, k) if k >= 1 else None
+    path = scratch(t.df.sparkSession, "magnitudes")
+    counts.write.parquet(path)
+    counts = t.df.sparkSession.read.schema(counts.schema).parquet(path)
     low, high, total = counts.agg(F.min("a"), F.max("a"), F.sum("n")).first()
     k = int(total * share) if k is None else k
     if k < 1 or k > total:
