@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from sparrowgrid.llm.common import arrow_map
 
 NEVER = 1 << 62
-#: Words kept with their tokens; the table is emptied when it is full.
+#: Words kept with their tokens, half of them in each generation.
 CACHE_WORDS = 150_000
 #: Bytes of a word that is kept.
 KEPT_WORD = 64
@@ -147,10 +147,7 @@ class MergeList:
         """Lowest rank first, leftmost first."""
         get = self.pairs.get
         ranks = list(map(get, zip(ids, ids[1:], strict=False), repeat(NEVER)))
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
+        while ranks and (best := min(ranks)) != NEVER:
             at = ranks.index(best)
             ids[at] = token = best & 0xFFFFF
             del ids[at + 1], ranks[at]
@@ -188,19 +185,24 @@ class Transducer:
 
 
 class Words(dict):
-    """Words to their tokens, each from a transducer when it is first asked for; it is emptied when it is full."""
+    """Words to their tokens, each from a transducer when it is first asked for, in two generations: when the young one
+    is full it becomes the old one, whose words come back when they are met again and go with the next one otherwise."""
 
     def __init__(self, merges: MergeList) -> None:
         super().__init__()
-        self.transducer = Transducer(merges)
+        self.transducer, self.old = Transducer(merges), {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        data = word.encode("utf-8", "surrogatepass")
-        got = (*self.transducer.push(data), *self.transducer.finish())
-        if len(data) <= KEPT_WORD:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = got
+        got = self.old.get(word)
+        if got is None:
+            data = word.encode("utf-8", "surrogatepass")
+            got = (*self.transducer.push(data), *self.transducer.finish())
+            if len(data) > KEPT_WORD:
+                return got
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = self.copy()
+            self.clear()
+        self[word] = got
         return got
 
 
