@@ -16,7 +16,7 @@ strings of hot anchors by 128 bits.
 from __future__ import annotations
 
 import secrets
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b, sha256
 from typing import NamedTuple
 
@@ -312,8 +312,9 @@ def anchor_rows(docs: DataFrame, key: bytes | None) -> DataFrame:
 CONTEXT = "ah long, cx long, cy int, ahead int, more int, bytes binary"
 
 
-def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted contexts (dk, tk, ah, cx, cy, at), as CONTEXT."""
+def contexts(docs: DataFrame, wanted: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
+    """The bytes of wanted contexts (dk, tk, ah, cx, cy, at), as CONTEXT, or what ``then`` makes of them in the same
+    worker, as ``schema``."""
     joined = docs.join(wanted.groupBy("dk", "tk").agg(F.collect_list(F.struct("ah", "cx", "cy", "at")).alias("w")), ["dk", "tk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +329,7 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in CONTEXT.split(", ")])
 
-    return arrow_map(joined.select("text", "w"), run, CONTEXT)
+    return arrow_map(joined.select("text", "w"), lambda batches: then(run(batches)) if then else run(batches), schema or CONTEXT)
 
 
 FOUND = "ah long, cx long, cy int, far int, near int"
@@ -376,8 +377,8 @@ def sorted_contexts(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa
         yield solve(held)
 
 
-def counted_contexts(rows: DataFrame, key: bytes) -> DataFrame:
-    """The same for contexts of very common anchors: their strings are told apart by 128 bits of a keyed digest and
+def counted_contexts(docs: DataFrame, wanted: DataFrame, key: bytes) -> DataFrame:
+    """The same for wanted contexts of very common anchors: their strings are told apart by 128 bits of a keyed digest and
     counted by Spark, so that no task holds a common anchor's contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +390,7 @@ def counted_contexts(rows: DataFrame, key: bytes) -> DataFrame:
                 cols = [pa.array(np.full(n, ah)), pa.array(np.full(n, cx)), pa.array(np.full(n, cy, np.int32)), pa.array((ahead - step).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["ah", "cx", "cy", "before", "h", "g"])
 
-    strings = arrow_map(rows, run, "ah long, cx long, cy int, before int, h long, g long")
+    strings = contexts(docs, wanted, run, "ah long, cx long, cy int, before int, h long, g long")
     same = strings.groupBy("ah", "before", "h", "g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     hits = strings.join(same, ["ah", "before", "h", "g"])
     return hits.groupBy("ah", "cx", "cy").agg(F.max("before").alias("far"), F.min("before").alias("near"))
@@ -416,9 +417,8 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartition(parts, "dk", "tk")
     few = contexts(dealt, several.filter(F.col("kinds") <= HOT)).repartition(parts, "ah").sortWithinPartitions("ah")
-    many = contexts(dealt, several.filter(F.col("kinds") > HOT))
     found = arrow_map(few, lambda batches: sorted_contexts(batches, secret.base), FOUND)
-    solved = written(found.unionByName(counted_contexts(many, secret.key)), "solved")
+    solved = written(found.unionByName(counted_contexts(dealt, several.filter(F.col("kinds") > HOT), secret.key)), "solved")
     whole = each.filter("n > 1").select(*context, F.lit(None).cast("int").alias("far"), F.lit(None).cast("int").alias("near"))
     partly = solved.join(each.filter("n = 1").select(*context), context, "left_semi")
     hit = candidates.join(whole.unionByName(partly), context)
