@@ -26,10 +26,10 @@ THRESHOLD = 0.5
 CONTEXT = 40
 #: Words that make a kind likelier nearby.
 WORDS = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "call", "tel", "mobile", "telefon", "teléfono"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "telefon", "teléfono"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "insurance"),
 }
@@ -44,6 +44,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+NEARBY_WORD = {kind: re.compile(rf"(?<!\w)(?:{'|'.join(words)})(?!\w)", re.IGNORECASE) for kind, words in WORDS.items()}
 DIGITS = re.compile(r"[^0-9]+")
 DIGIT = re.compile("[0-9]")
 
@@ -104,8 +105,12 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _nearby(text: str, kind: str, a: int, b: int) -> bool:
-    around = f"{text[max(0, a - CONTEXT) : a]} {text[b : b + CONTEXT]}".lower()
-    return any(w in around for w in WORDS[kind])
+    """A context word of the kind, whole and in any case, within CONTEXT characters of a span."""
+    near = NEARBY_WORD[kind]
+    if near.search(text, max(0, a - CONTEXT), a):
+        return True
+    m = near.search(text, b, b + CONTEXT + 1)
+    return m is not None and m.end() <= b + CONTEXT
 
 
 def find(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
@@ -167,7 +172,10 @@ def mask(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and digests of each document's spans, from ``detect``."""
+    """Counts and digests of each document's spans, from ``detect``, a row each, repeated rows included.
+
+    A null or empty text has no spans; an empty table gives no rows; columns other than doc_id and text are ignored.
+    """
     found = detect(docs)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     text = lambda col: F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -79,3 +79,22 @@ def test_mask_keeps_columns_and_nulls(make):
     assert got[0].text.startswith("write to <EMAIL> or x@y, <IP>.<IP>,") and got[0].n_chars == len(got[0].text)
     assert got[1].text is None and got[1].n_chars is None and got[2].text == "clean"
     assert pii.mask(docs.limit(0)).count() == 0
+
+
+def test_context_words_count_whole():
+    ip = "10.1.2.3"
+    for text, near in (
+        (f"the ip {ip}", True), (f"IP: {ip}", True), (f"a ship {ip}", False), (f"{ip} is a host", True), (f"{ip} hostile", False),
+        (f"ip{' ' * 38}{ip}", True), (f"ip{' ' * 39}{ip}", False), (f"ship{' ' * 38}{ip}", False), (f"{ip}{' ' * 38}ip", True), (f"{ip}{' ' * 38}ips", False), (f"{ip}{' ' * 39}ip", False),
+    ):
+        (span,) = [s for s in pii.find(text) if s.kind == "ip"]
+        assert (span.score > pii.PRIOR["ip"]) is near, text
+    assert [s.kind for s in pii.find("social 123-45-6789")] == ["ssn"] and not pii.find("antisocially 123-45-6789")
+
+
+def test_digest_of_nothing_and_of_repeated_rows(spark):
+    rows = [(1, "a@b.c"), (1, "a@b.c"), (2, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_email"], r["spans"]) for r in pii.digest(df).collect())
+    assert got == [(0, 0, ""), (1, 1, "email:0:5"), (1, 1, "email:0:5"), (2, 0, "")]
+    assert pii.digest(df.limit(0)).collect() == []
