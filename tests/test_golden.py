@@ -55,6 +55,22 @@ def test_matrix_product_and_sum(spark):
     assert [r.v for r in entries.orderBy("p").collect()] == [2, 2, 3, 4, 5, 2, 4, 3, 3, 1, 5, 3, 6]
 
 
+def test_dense_product_over_a_short_mode_shuffles_no_products(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-3, 4, (9, 4)), rng.integers(-3, 4, (7, 4))
+    a[2], b[:, 1] = 0, 0  # a row without a cell has no product, as cells without a partner have none
+    for keep_zeros in (True, False):
+        x, y = (tensor(spark, t, d, keep_zeros, "dd") for t, d in ((a, "if"), (b, "kf")))
+        got = cells(sg.einsum("if,kf->ik", x, y))
+        meet = (np.ones((9, 4)) if keep_zeros else a != 0) @ (np.ones((4, 7)) if keep_zeros else b.T != 0) > 0
+        assert got == {(i, k): (a @ b.T)[i, k] for i, k in zip(*map(lambda n: n.tolist(), np.nonzero(meet)), strict=True)}
+    twice = Tensor(x.df.union(x.df), x.dims, x.shape, "dd", coalesced=False)
+    assert cells(sg.einsum("if,kf->ki", twice, y)) == {(k, i): 2 * v for (i, k), v in got.items()}
+    plan = sg.einsum("if,kf->ik", x, y).df._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Join" if "Join" in plan else "CartesianProduct")]
+    assert "Exchange" not in top and "Aggregate" not in top
+
+
 def test_csr_round_trip(spark):
     rows = spark.createDataFrame([(0, 2), (1, 2), (2, 3)], "i bigint, pos_end bigint")
     entries = spark.createDataFrame([(0, 4, 1.0), (1, 5, 2.0), (2, 0, 3.0)], "p bigint, j bigint, v double")
