@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from sparrowgrid.llm.common import arrow_map
 
 NEVER = 1 << 62
-#: Words kept with their tokens, half of them in each generation.
-CACHE_WORDS = 150_000
+#: Words kept with their tokens, half of them in each generation: about 180 bytes each, as tokens' numbers are shared.
+CACHE_WORDS = 240_000
 #: Bytes of a word that is kept.
 KEPT_WORD = 64
 #: Characters of a text that are read at once, and of a word beyond which it is pushed on before its end is seen.
@@ -150,7 +150,8 @@ class MergeList:
         while ranks and (best := min(ranks)) != NEVER:
             at = ranks.index(best)
             ids[at] = token = best & 0xFFFFF
-            del ids[at + 1], ranks[at]
+            del ids[at + 1]
+            del ranks[at]
             if at:
                 ranks[at - 1] = get((ids[at - 1], token), NEVER)
             if at < len(ranks):
@@ -183,6 +184,10 @@ class Transducer:
         held, self.held = self.held, b""
         return self.merges.ids(held)
 
+    def whole(self, data: bytes) -> list[int]:
+        """A word that is there from its start to its end: one window, if it fits, and pushed otherwise."""
+        return self.merges.ids(data) if len(data) <= self.window else [*self.push(data), *self.finish()]
+
 
 class Words(dict):
     """Words to their tokens, each from a transducer when it is first asked for, in two generations: when the young one
@@ -191,12 +196,14 @@ class Words(dict):
     def __init__(self, merges: MergeList) -> None:
         super().__init__()
         self.transducer, self.old = Transducer(merges), {}
+        #: One object a token, so that words don't keep a number of their own for each.
+        self.number = {i: i for i in merges.token_bytes}.__getitem__
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         got = self.old.get(word)
         if got is None:
             data = word.encode("utf-8", "surrogatepass")
-            got = (*self.transducer.push(data), *self.transducer.finish())
+            got = tuple(map(self.number, self.transducer.whole(data)))
             if len(data) > KEPT_WORD:
                 return got
         if len(self) >= CACHE_WORDS // 2:

@@ -85,6 +85,16 @@ def test_pushes_of_any_size_give_the_same_tokens(encoder):
         assert got + t.finish() == whole
 
 
+def test_kept_words_share_their_tokens_numbers(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 8)
+    rng, words, number = random.Random(6), bpe.Words(encoder.merges), {}
+    for k in range(300):
+        w = " " + "".join(rng.choices("abcdeé the", k=rng.choice([1, 5, 12, 64, 300])))
+        assert list(words[w]) == encoder.merges.ids(w.encode()), w
+        assert all(number.setdefault(i, i) is i for i in words[w])
+    assert len(words) + len(words.old) <= 8 and not words.transducer.held
+
+
 def test_lookahead_bounds_what_follows(encoder):
     """Tokens that end the lookahead before a cut don't depend on what is after the cut."""
     m, rng = encoder.merges, random.Random(3)
