@@ -9,6 +9,7 @@ keeps none of those bits, and two fingerprints that differ just there fall into
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -156,9 +157,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 # -- similarity joins beyond a few bits -------------------------------------------------------------
-#: Words of a shingle, bands of a signature and least hashes of each: a pair of similarity s shares a band with
-#: probability 1 - (1 - s ** 6) ** 20, that is 0.998 at 0.8, however short its texts are.
-WORDS, BANDS, LEAST = 5, 20, 6
+#: Words of a shingle, and the radius of a part's covering tables.
+WORDS, RADIUS = 5, 2
+#: Bits of a part and parts of a signature, up to SMALL documents and beyond: a part's tables keep 12 or 16 bits. At a
+#: similarity of 0.8 a bit differs with probability 0.15, in texts of a few shingles up to 0.19, so a pair has a part
+#: with RADIUS differing bits at most with probability 0.9999, in those texts 0.99 or more (0.98 beyond SMALL).
+SMALL, PARTS, MANY_PARTS = 1 << 23, (21, 21), (28, 44)
+#: Parts whose tables are dealt at once: bounds the shuffle files.
+ROUND = 12
 #: Lanes of 64 bits that check a candidate, and how many of them may differ: at a similarity of 0.8 one in 6.6 does,
 #: that is 19.4 of 128, or up to 24 of them in texts of a few shingles.
 CHECKS, DIFFERING = 2, 36
@@ -168,6 +174,8 @@ MEMBERS = 4096
 MATCHED = 256
 #: Rows that are gathered before their buckets are compared.
 GATHER = 1 << 17
+#: Edges that are held to be replaced by a forest's.
+FOREST = 1 << 20
 #: Odd numbers that tell apart a shingle's words, and a hash's lanes.
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -185,7 +193,7 @@ class Signer:
     CACHE = 100_000
 
     def __init__(self, words: int, lanes: int) -> None:
-        self.n, self.lanes, self.words, self.seeds = words, lanes, {}, None
+        self.n, self.lanes, self.words = words, lanes, {}
 
     def _hash(self, word: bytes) -> int:
         if (h := self.words.get(word)) is None:
@@ -206,24 +214,6 @@ class Signer:
             s += _scatter(h[k : len(w) - n + 1 + k] + _ODD[k]) * _ODD[k]
         return np.unique(s)
 
-    def bands(self, s: np.ndarray, bands: int) -> np.ndarray:
-        """A number a band, of the least of LEAST hashes over the shingles."""
-        if not len(s):
-            return np.zeros(bands, np.int64)
-        if self.seeds is None or len(self.seeds) != bands * LEAST:
-            self.seeds = np.random.default_rng(6).integers(0, 1 << 63, bands * LEAST, np.uint64)
-        least = np.full(bands * LEAST, ~np.uint64(0))
-        for k in range(0, len(s), 512):
-            x = s[k : k + 512, None] ^ self.seeds
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0x94D049BB133111EB)
-            least = np.minimum(least, x.min(0))
-        least, key = least.reshape(bands, LEAST), np.arange(bands, dtype=np.uint64)
-        for k in range(LEAST):
-            key = _scatter(key * _ODD[k] + least[:, k])
-        return key.view(np.int64)
-
     def signature(self, s: np.ndarray) -> np.ndarray:
         return majority(_scatter(s[:, None] ^ _ODD[None, 32 : 32 + self.lanes]))
 
@@ -234,6 +224,60 @@ def set_node(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _root(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[x]
+        if (up == parent[up]).all():
+            return up
+        parent[x] = parent[up]
+        x = up
+
+
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    while len(a):
+        x, y = _root(parent, a), _root(parent, b)
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        if len(a):
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) to those of a forest with the same components, or of a few, each of FOREST / 2 edges or more."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def solve(edges: np.ndarray) -> np.ndarray:
+        nodes, at = np.unique(edges, return_inverse=True)
+        a, b = at.reshape(2, -1)
+        parent = np.arange(len(nodes))
+        _unite(parent, a, b)
+        top = _root(parent, np.arange(len(nodes)))
+        own = np.flatnonzero(top != np.arange(len(nodes)))
+        return np.stack([nodes[own], nodes[top[own]]])
+
+    def rows(edges: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
+
+    for b in batches:
+        held.append(np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()]))
+        size += b.num_rows
+        if size >= FOREST:
+            got = solve(np.hstack(held))
+            held, size = [got], got.shape[1]
+            if 2 * size > FOREST:
+                yield rows(got)
+                held, size = [], 0
+    if size:
+        yield rows(solve(np.hstack(held)))
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Written edges as a few forests: a node of a large group has an edge in many tables or cells, and components need
+    one."""
+    return arrow_map(edges.coalesce(1 + edges.count() // FOREST), forest, "u long, v long")
+
+
 def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, cell, node, c0, c1) sorted by key and cell: a forest of the links of each bucket's cell.
 
@@ -247,14 +291,6 @@ def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa
         parent = np.arange(len(node))
         bucket = np.concatenate([[0], np.cumsum((rows[:2, 1:] != rows[:2, :-1]).any(0))])
 
-        def root(x: np.ndarray) -> np.ndarray:
-            while True:
-                up = parent[x]
-                if (up == parent[up]).all():
-                    return up
-                parent[x] = parent[up]
-                x = up
-
         at, step = np.arange(len(node)), 0
         while len(at):
             step += 1
@@ -262,14 +298,8 @@ def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa
             at = at[bucket[at + step] == bucket[at]]
             off = np.bitwise_count((c0[at] ^ c0[at + step]).view(np.uint64)) + np.bitwise_count((c1[at] ^ c1[at + step]).view(np.uint64))
             a = at[off <= differing]
-            b = a + step
-            while len(a):
-                x, y = root(a), root(b)
-                apart = x != y
-                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-                if len(a):
-                    np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        top = root(np.arange(len(node)))
+            _unite(parent, a, a + step)
+        top = _root(parent, np.arange(len(node)))
         own = np.flatnonzero((top != np.arange(len(node))) & (node != node[top]))
         return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[top[own]])], ["u", "v"])
 
@@ -349,43 +379,62 @@ def exact_edges(docs: DataFrame, prints: DataFrame, roots: DataFrame, words: int
     return arrow_map(dealt, lambda batches: confirmed(batches, words), "u long, v long")
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, differing: int = DIFFERING) -> DataFrame:
+def part_tables(lanes: list[str], parts: int, bits: int) -> list[Column]:
+    """A key for each covering table of each part; a lane of 64 bits holds ``64 // bits`` parts."""
+    each, cover = 64 // bits, masks(bits, RADIUS)
+    value = [F.shiftrightunsigned(lanes[k // each], k % each * bits) for k in range(parts)]
+    return [F.lit(k * len(cover) + t << bits).cast("bigint").bitwiseOR(value[k].bitwiseAND(F.lit(m).cast("bigint"))) for k in range(parts) for t, m in enumerate(cover)]
+
+
+def candidate_edges(nodes: DataFrame, tables: list[Column], differing: int) -> DataFrame:
+    """``(u, v)`` edges of nodes that share a key of ``tables`` and differ in at most ``differing`` checked bits."""
+    rows = nodes.select(F.explode(F.array(*tables)).alias("key"), "node", "c0", "c1")
+    hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS), "hot").withColumnRenamed("key", "_k")
+    # a bucket of g groups of MEMBERS has a task for each two groups: a member of group s goes to those of s and any t
+    groups = F.ceil(F.col("n") / MEMBERS)
+    own = F.pmod(F.xxhash64("node", F.lit(2)), groups)
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), lambda t: F.least(own, t) * groups + F.greatest(own, t))
+    cell = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(cells)).alias("cell")
+    rows = rows.join(hot, F.col("key") == F.col("_k"), "left").select("key", cell, "node", "c0", "c1")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by node, too: a tree's top is then its least node, so that the tables' edges in a large group are mostly the same
+    dealt = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "node")
+    edges = arrow_map(dealt, lambda batches: candidates(batches, differing), "u long, v long")
+    return written(edges.distinct(), "edges")
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, parts: int | None = None, bits: int | None = None, differing: int = DIFFERING) -> DataFrame:
     """``(doc_id, th, node, root)`` of every row: rows with one root are near copies, by a Jaccard similarity of 0.8 or
     more of their sets of word shingles, or linked by such. Every link is confirmed by the sets themselves.
 
-    A signature has ``bands`` keys of LEAST least hashes each. Pairs that share a key meet in a bucket, and CHECKS lanes
-    propose those that differ in at most ``differing`` bits: a pair of similarity 0.8 with probability 0.99 or more.
-    A bucket of more than MEMBERS is dealt to several tasks, so none holds more than twice as many. Equal sets are
-    one node. Null and empty texts are copies of each other.
+    A signature has ``parts`` independent SimHash fingerprints of ``bits`` bits, each with the covering tables of radius
+    RADIUS: a pair that differs in at most RADIUS bits of some part meets in a bucket for certain, and CHECKS further
+    lanes propose those that differ in at most ``differing`` bits: a pair of similarity 0.8 with probability 0.99 or
+    more. A bucket of more than MEMBERS is dealt to several tasks, so none holds more than twice as many. Equal sets
+    are one node. Null and empty texts are copies of each other.
     """
-    names = ["doc_id", "th", "node", "c0", "c1", *[f"p{k}" for k in range(bands)]]
+    if parts is None or bits is None:
+        bits, parts = PARTS if docs.count() <= SMALL else MANY_PARTS
+    lanes = -(-parts // (64 // bits))
+    names = ["doc_id", "th", "node", "c0", "c1", *[f"p{k}" for k in range(lanes)]]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(words, CHECKS)
+        signer = Signer(words, CHECKS + lanes)
         for b in batches:
             sets = [signer.shingles(t) for t in b.column("text").to_pylist()]
-            check = np.array([signer.signature(s) for s in sets], np.uint64).reshape(-1, CHECKS).view(np.int64)
-            value = np.array([signer.bands(s, bands) for s in sets], np.int64).reshape(-1, bands)
+            sig = np.array([signer.signature(s) for s in sets], np.uint64).reshape(-1, CHECKS + lanes).view(np.int64)
             node = np.array([set_node(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(node), *(pa.array(check[:, k].copy()) for k in range(CHECKS)), *(pa.array(value[:, k].copy()) for k in range(bands))], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(node), *(pa.array(sig[:, k].copy()) for k in range(CHECKS + lanes))], names)
 
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("th"), "text")
     schema = "doc_id long, th int, " + ", ".join(f"{n} long" for n in names[2:])
     prints = written(arrow_map(keyed, sign, schema), "signatures")
-    nodes = prints.groupBy("node").agg(*[F.first(n).alias(n) for n in names[3:]])
-    tables = [F.col(f"p{k}") for k in range(bands)]
-    rows = nodes.select(F.explode(F.array(*tables)).alias("key"), "node", "c0", "c1")
-    hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS), "hot").withColumnRenamed("key", "_k")
-    # a bucket of g groups of MEMBERS has a task for each two groups: a member of group s goes to those of s and any t
-    groups = F.ceil(F.col("n") / MEMBERS)
-    own = F.pmod(F.xxhash64("node", F.lit(2)), groups)
-    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), lambda t: F.least(own, t) * groups + F.greatest(own, t))
-    cell = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(cells)).alias("cell")
-    rows = rows.join(hot, F.col("key") == F.col("_k"), "left").select("key", cell, "node", "c0", "c1")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell")
-    edges = arrow_map(dealt, lambda batches: candidates(batches, differing), "u long, v long")
-    roots = components(exact_edges(docs, prints, components(edges), words))
+    nodes = written(prints.groupBy("node").agg(*[F.first(n).alias(n) for n in names[3:]]), "nodes")
+    tables = part_tables(names[5:], parts, bits)
+    step = ROUND * len(masks(bits, RADIUS))
+    edges = reduce(DataFrame.unionByName, [candidate_edges(nodes, tables[k : k + step], differing) for k in range(0, len(tables), step)])
+    exact = written(exact_edges(docs, prints, components(thinned(edges)), words), "exact")
+    roots = components(thinned(exact))
     got = prints.select("doc_id", "th", "node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     return got.select("doc_id", "th", "node", F.coalesce("root", "node").alias("root"))
 

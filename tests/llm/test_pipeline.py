@@ -79,6 +79,35 @@ def test_pairs_below_the_threshold_stay(make, monkeypatch, matched):
     assert simhash.exact_links([0, 1, 2, 3], sets) == [(0, 1), (1, 2)]
 
 
+@pytest.mark.parametrize(("bits", "parts"), [(21, 7), (28, 5)])
+def test_fingerprints_within_two_bits_in_a_part_are_proposed(spark, bits, parts):
+    rng, each, rows, want = random.Random(bits), 64 // bits, [], set()
+    lanes = [f"p{k}" for k in range(-(-parts // each))]
+    for n in range(0, 600, 2):
+        own = [rng.getrandbits(bits) for _ in range(parts)]
+        at = rng.randrange(parts)
+        # all other parts differ in many bits, this one in 0 to 2; every bit may be set, the lane's sign too
+        other = [x ^ (1 << bits) - 1 for x in own]
+        other[at] = own[at] ^ sum(1 << b for b in rng.sample(range(bits), n // 2 % 3))
+        for k, values in enumerate((own, other)):
+            words = [sum(x << bits * j for j, x in enumerate(values[m : m + each])) | rng.getrandbits(1) << 63 for m in range(0, parts, each)]
+            rows.append((n + k, n, 0, *(int(np.uint64(w).astype(np.int64)) for w in words)))
+        want.add((n, n + 1))
+    nodes = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["node", "c0", "c1", *lanes]))
+    tables = simhash.part_tables(lanes, parts, bits)
+    assert len(tables) == 7 * parts
+    got = {tuple(sorted(e)) for e in simhash.candidate_edges(nodes, tables, 0).collect()}
+    assert got == want
+
+
+def test_near_copies_are_proposed_by_fingerprints(make, monkeypatch):
+    rows = pairs(9, 0.8, 0.84, 20)
+    assert len(simhash.keep_one(make(rows), bits=28, parts=44).collect()) == 20
+    # no table, no link: nothing beside the covering tables proposes pairs
+    monkeypatch.setattr(simhash, "part_tables", lambda lanes, parts, bits: [simhash.F.col("node")], raising=False)
+    assert len(simhash.keep_one(make(rows)).collect()) == 40
+
+
 @pytest.mark.parametrize("members", [4096, 20])
 def test_large_group_is_one_tree(make, monkeypatch, members):
     monkeypatch.setattr(simhash, "MEMBERS", members)
@@ -109,6 +138,27 @@ def test_buckets_of_any_size_and_batch(monkeypatch, gather):
     assert groups(edges) == groups(want)
 
 
+@pytest.mark.parametrize("held", [4, 50, 1 << 20])
+def test_forests_keep_the_components(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash, "FOREST", held, raising=False)
+    rng = random.Random(held)
+    # a group whose members have edges to many others, loops, repeats and small groups
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(600)] + [(k, k + 1) for k in range(100, 200, 3)] + [(7, 7), (-5, 300), (-5, 300)]
+    e = pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in range(2)], ["u", "v"])
+    got = [x for b in simhash.forest(e.slice(k, 13) for k in range(0, len(edges), 13)) for x in zip(*b.to_pydict().values(), strict=True)]
+
+    def groups(pairs):
+        root = {}
+        for a, b in pairs:
+            x, y = root.setdefault(a, a), root.setdefault(b, b)
+            root |= {k: min(x, y) for k, r in root.items() if r in (x, y)}
+        return {k: r for k, r in root.items() if k != r}
+
+    assert groups(got) == groups(edges) and len(got) <= len(edges)
+    assert held < 1 << 20 or len(got) == len(groups(edges))
+    assert list(simhash.forest(iter([e.slice(0, 0)]))) == []
+
+
 def test_keep_one_with_odd_rows(make):
     docs = make([*ODD, "same words here", "same words here"], ids=[*range(len(ODD)), 90, 90])
     got = simhash.keep_one(docs)
