@@ -164,16 +164,19 @@ WORDS, RADIUS = 5, 2
 #: with RADIUS differing bits at most with probability 0.9999, in those texts 0.99 or more (0.98 beyond SMALL).
 SMALL, PARTS, MANY_PARTS = 1 << 23, (21, 21), (28, 44)
 #: Parts whose tables are dealt at once: bounds the shuffle files.
-ROUND = 12
-#: Lanes of 64 bits that check a candidate, and how many of them may differ: at a similarity of 0.8 one in 6.6 does,
-#: that is 19.4 of 128, or up to 24 of them in texts of a few shingles.
-CHECKS, DIFFERING = 2, 36
+ROUND = 7
+#: Lanes of 64 bits that check a candidate, and how many of their bits may differ, in all and in the first two lanes: at
+#: a similarity of 0.8 one in 6.6 does, that is 38.8 of 256 and 19.4 of 128, or up to 49 and 24 in texts of a few
+#: shingles, which pass with probability 0.998. Unrelated texts differ in 128 of 256 and so are 7 deviations away; with
+#: two lanes alone and 36 bits they were 5, and such pairs tied groups of a corpus of millions together.
+CHECKS, DIFFERING, FIRST = 4, 68, 44
 #: Members of a bucket that one task compares; a larger bucket is dealt to a triangle of tasks.
 MEMBERS = 4096
 #: Members of a group of candidates whose shingles one task compares; a larger group is dealt like a large bucket.
 MATCHED = 256
-#: Rows that are gathered before their buckets are compared.
-GATHER = 1 << 17
+#: Rows that are gathered before their buckets are compared, pairs compared at once, and members of a bucket from which
+#: on it is compared alone.
+GATHER, BLOCK, ALONE = 1 << 17, 1 << 14, 256
 #: Edges that are held to be replaced by a forest's.
 FOREST = 1 << 20
 #: Odd numbers that tell apart a shingle's words, and a hash's lanes.
@@ -186,33 +189,38 @@ def _scatter(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Words(dict):
+    """Words' hashes, made when they are first asked for; it is emptied when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= Signer.CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
 class Signer:
     """Texts to signatures of ``lanes`` 64-bit numbers, by shingles of words with A-Z lowered."""
 
-    #: Words kept with their hashes; the table is emptied when it is full.
+    #: Words kept with their hashes.
     CACHE = 100_000
 
     def __init__(self, words: int, lanes: int) -> None:
-        self.n, self.lanes, self.words = words, lanes, {}
-
-    def _hash(self, word: bytes) -> int:
-        if (h := self.words.get(word)) is None:
-            if len(self.words) >= self.CACHE:
-                self.words.clear()
-            h = self.words[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
+        self.n, self.lanes, self.words = words, lanes, _Words()
 
     def shingles(self, text: str | None) -> np.ndarray:
         """The sorted distinct hashes of a text's shingles."""
         w = text.encode().lower().split() if text else []
         if not w:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self._hash, w), np.uint64, len(w))
+        h = np.fromiter(map(self.words.__getitem__, w), np.uint64, len(w))
         n = min(self.n, len(w))
-        s = np.zeros(len(w) - n + 1, np.uint64)
-        for k in range(n):
-            s += _scatter(h[k : len(w) - n + 1 + k] + _ODD[k]) * _ODD[k]
-        return np.unique(s)
+        each = _scatter(h + _ODD[:n, None]) * _ODD[:n, None]
+        s = each[0, : len(w) - n + 1].copy()
+        for k in range(1, n):
+            s += each[k, k : len(w) - n + 1 + k]
+        s.sort()
+        return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
     def signature(self, s: np.ndarray) -> np.ndarray:
         return majority(_scatter(s[:, None] ^ _ODD[None, 32 : 32 + self.lanes]))
@@ -279,33 +287,66 @@ def thinned(edges: DataFrame) -> DataFrame:
 
 
 def candidates(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cell, node, c0, c1) sorted by key and cell: a forest of the links of each bucket's cell.
+    """Rows (key, cell, node, c0, c1, ..) sorted by key and cell: a forest of the links of each bucket's cell.
 
-    All pairs of a bucket are compared, neighbours at distance 1, 2, .. of all buckets at once; what is emitted is
-    one row at most for each of its members.
+    All pairs of a bucket are compared by their first two lanes, and those that pass by all: in a large bucket some rows
+    with all later ones at once, in small ones neighbours at distance 1, 2, .. of a block of buckets at once. What is
+    emitted is one row at most for each of a bucket's members.
     """
     held: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        node, c0, c1 = rows[2:]
-        parent = np.arange(len(node))
-        bucket = np.concatenate([[0], np.cumsum((rows[:2, 1:] != rows[:2, :-1]).any(0))])
-
-        at, step = np.arange(len(node)), 0
-        while len(at):
-            step += 1
-            at = at[at + step < len(node)]
-            at = at[bucket[at + step] == bucket[at]]
-            off = np.bitwise_count((c0[at] ^ c0[at + step]).view(np.uint64)) + np.bitwise_count((c1[at] ^ c1[at + step]).view(np.uint64))
-            a = at[off <= differing]
-            _unite(parent, a, a + step)
-        top = _root(parent, np.arange(len(node)))
-        own = np.flatnonzero((top != np.arange(len(node))) & (node != node[top]))
+        start = np.flatnonzero(np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)]))
+        size = np.diff(np.append(start, rows.shape[1]))
+        order = np.argsort(-size, kind="stable")[: int((size > 1).sum())]  # the largest first: those that a step still has
+        start, size = start[order], size[order]
+        end = np.cumsum(size)
+        n = int(size.sum())
+        at = np.repeat(start - end + size, size) + np.arange(n)
+        node, lanes = rows[2, at], rows[3:, at].view(np.uint64)
+        left = np.repeat(end, size) - np.arange(n)
+        parent = np.arange(n)
+        first = differing if len(lanes) <= 2 else min(differing, FIRST)
+
+        def off(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            got = np.bitwise_count(a[0] ^ b[0])
+            if len(a) > 1:
+                got += np.bitwise_count(a[1] ^ b[1])
+            return got
+
+        def unite(a: np.ndarray, b: np.ndarray) -> None:
+            near = np.bitwise_count(lanes[:, a] ^ lanes[:, b]).sum(0, dtype=np.int64) <= differing
+            _unite(parent, a[near], b[near])
+
+        k = 0
+        while k < len(size) and size[k] > ALONE:
+            a, z = int(end[k] - size[k]), int(end[k])
+            while a < z:
+                high = min(1 + BLOCK // (z - a), z - a)
+                near = np.flatnonzero(off(lanes[:2, a : a + high, None], lanes[:2, None, a:z]) <= first)
+                if len(near) > high:  # more than the rows themselves
+                    x, y = np.divmod(near, z - a)
+                    unite(x[x < y] + a, y[x < y] + a)
+                a += high
+            k += 1
+        while k < len(size):
+            low = int(end[k] - size[k])
+            then = m = max(k + 1, int(np.searchsorted(end, low + BLOCK, side="right")))
+            for step in range(1, int(size[k])):
+                while size[m - 1] <= step:
+                    m -= 1
+                near = np.flatnonzero(off(lanes[:2, low : end[m - 1] - step], lanes[:2, low + step : end[m - 1]]) <= first)
+                if len(near):
+                    near = near[left[near + low] > step] + low
+                    unite(near, near + step)
+            k = then
+        top = _root(parent, np.arange(n))
+        own = np.flatnonzero((top != np.arange(n)) & (node != node[top]))
         return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[top[own]])], ["u", "v"])
 
     size = 0
     for b in batches:
-        rows = np.stack([b.column(c).to_numpy() for c in ("key", "cell", "node", "c0", "c1")])
+        rows = np.stack([b.column(c).to_numpy() for c in ("key", "cell", "node", *(x for x in b.schema.names if x[0] == "c" and x[1:].isdigit()))])
         held.append(rows)
         size += rows.shape[1]
         if size >= GATHER:
@@ -325,16 +366,26 @@ def exact_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
     """A forest of the pairs of sets with a Jaccard similarity of 0.8 or more."""
     out, label = [], np.arange(len(sets))
     size = np.array([len(x) for x in sets])
-    for a, x in enumerate(sets):
+    each, number = np.unique(np.concatenate(sets), return_inverse=True)
+    numbers = np.split(number.astype(np.int32), np.cumsum(size)[:-1])
+    own = np.zeros(len(each), bool)
+    for a in range(len(sets)):
         apart = (label != label[a]) & (5 * np.minimum(size, size[a]) >= 4 * np.maximum(size, size[a]))  # no others can reach 0.8
-        for b in np.flatnonzero(apart[a + 1 :]) + a + 1:
-            if label[b] != label[a]:
-                few, many = sorted((x, sets[b]), key=len)
-                at = np.searchsorted(many, few)
-                shared = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                if 5 * shared >= 4 * (size[a] + size[b] - shared):
+        others = np.flatnonzero(apart[a + 1 :]) + a + 1
+        own[numbers[a]] = True
+        for k in range(0, len(others), MATCHED):
+            some = others[k : k + MATCHED]
+            some = some[label[some] != label[a]]
+            if not len(some):
+                continue
+            shared = np.zeros(len(some), np.int64)
+            if size[a]:  # then none of them is empty
+                shared = np.add.reduceat(own[np.concatenate([numbers[b] for b in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
+            for b in some[5 * shared >= 4 * (size[a] + size[some] - shared)]:
+                if label[b] != label[a]:
                     out.append((nodes[a], nodes[b]))
                     label[label == label[b]] = label[a]
+        own[numbers[a]] = False
     return out
 
 
@@ -388,14 +439,15 @@ def part_tables(lanes: list[str], parts: int, bits: int) -> list[Column]:
 
 def candidate_edges(nodes: DataFrame, tables: list[Column], differing: int) -> DataFrame:
     """``(u, v)`` edges of nodes that share a key of ``tables`` and differ in at most ``differing`` checked bits."""
-    rows = nodes.select(F.explode(F.array(*tables)).alias("key"), "node", "c0", "c1")
+    checks = [c for c in nodes.columns if c[0] == "c" and c[1:].isdigit()]
+    rows = nodes.select(F.explode(F.array(*tables)).alias("key"), "node", *checks)
     hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS), "hot").withColumnRenamed("key", "_k")
     # a bucket of g groups of MEMBERS has a task for each two groups: a member of group s goes to those of s and any t
     groups = F.ceil(F.col("n") / MEMBERS)
     own = F.pmod(F.xxhash64("node", F.lit(2)), groups)
     cells = F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), lambda t: F.least(own, t) * groups + F.greatest(own, t))
     cell = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(cells)).alias("cell")
-    rows = rows.join(hot, F.col("key") == F.col("_k"), "left").select("key", cell, "node", "c0", "c1")
+    rows = rows.join(hot, F.col("key") == F.col("_k"), "left").select("key", cell, "node", *checks)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # by node, too: a tree's top is then its least node, so that the tables' edges in a large group are mostly the same
     dealt = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "node")
@@ -416,7 +468,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, parts: int | None = None
     if parts is None or bits is None:
         bits, parts = PARTS if docs.count() <= SMALL else MANY_PARTS
     lanes = -(-parts // (64 // bits))
-    names = ["doc_id", "th", "node", "c0", "c1", *[f"p{k}" for k in range(lanes)]]
+    names = ["doc_id", "th", "node", *[f"c{k}" for k in range(CHECKS)], *[f"p{k}" for k in range(lanes)]]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(words, CHECKS + lanes)
@@ -430,7 +482,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, parts: int | None = None
     schema = "doc_id long, th int, " + ", ".join(f"{n} long" for n in names[2:])
     prints = written(arrow_map(keyed, sign, schema), "signatures")
     nodes = written(prints.groupBy("node").agg(*[F.first(n).alias(n) for n in names[3:]]), "nodes")
-    tables = part_tables(names[5:], parts, bits)
+    tables = part_tables(names[3 + CHECKS :], parts, bits)
     step = ROUND * len(masks(bits, RADIUS))
     edges = reduce(DataFrame.unionByName, [candidate_edges(nodes, tables[k : k + step], differing) for k in range(0, len(tables), step)])
     exact = written(exact_edges(docs, prints, components(thinned(edges)), words), "exact")

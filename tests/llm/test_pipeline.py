@@ -159,6 +159,32 @@ def test_forests_keep_the_components(spark, monkeypatch, held):
     assert list(simhash.forest(iter([e.slice(0, 0)]))) == []
 
 
+@pytest.mark.parametrize(("alone", "block"), [(256, 1 << 14), (8, 16), (1, 1 << 14), (40, 3)])
+def test_pairs_that_only_the_first_check_bits_hold_for_near_are_not_proposed(monkeypatch, alone, block):
+    monkeypatch.setattr(simhash, "ALONE", alone, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.choice([1, 2, 2, 2, 2, 3, 4, 5, 6, 7], 200))
+    flips = [1 << rng.integers(0, 64, (200, 9)).astype(np.uint64) for _ in range(4)]  # pairs differ in up to 18 bits of a lane
+    c = np.stack([np.bitwise_xor.reduce(x, axis=1) for x in flips])
+    c[2:, ::2] ^= np.uint64((1 << 64) - 1)  # every second row is far from its neighbours by the last two lanes alone
+    names = ["key", "cell", "node", "c0", "c1", "c2", "c3"]
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(key * 0), pa.array(np.arange(200)), *(pa.array(x.view(np.int64)) for x in c)], names)
+    edges = [e for b in simhash.candidates(iter([rows]), 58) for e in zip(*b.to_pydict().values(), strict=True)]
+    near = [(a, b) for a in range(200) for b in range(a) if key[a] == key[b] and np.bitwise_count(c[:, a] ^ c[:, b]).sum() <= 58]
+    first = [(a, b) for a in range(200) for b in range(a) if key[a] == key[b] and np.bitwise_count(c[:2, a] ^ c[:2, b]).sum() <= 36]
+    assert near and len(first) > 2 * len(near)
+
+    def groups(pairs):
+        root = list(range(200))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    assert groups(edges) == groups(near) != groups(first)
+
+
 def test_keep_one_with_odd_rows(make):
     docs = make([*ODD, "same words here", "same words here"], ids=[*range(len(ODD)), 90, 90])
     got = simhash.keep_one(docs)
